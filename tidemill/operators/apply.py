@@ -143,7 +143,7 @@ def apply_changes(table: VersionedTable, changes: DataFrame, keys: tuple[str, ..
         m = replace(m, keys=keys, n_buckets=m.n_buckets if m.schema else n_buckets)
         winners = typed_winners(c.winners, keys, c.columns, schema).persist()
         try:
-            few = winners.limit(BROADCAST_WINNERS + 1).count() <= BROADCAST_WINNERS
+            few = winners.count() <= BROADCAST_WINNERS
             if c.truncated or m.schema is None:
                 files = _write_whole(table, m, winners, c.columns, keys, schema, few)
             else:
