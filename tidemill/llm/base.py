@@ -76,7 +76,7 @@ class Scratch:
 
 def keep_or_drop(rows: DataFrame, keys: DataFrame, on: list[str], how: str, most: int = BROADCAST_KEYS) -> DataFrame:
     """left_semi or left_anti join; keys are broadcast if there are at most `most` of them."""
-    small = keys.limit(most + 1).count() <= most
+    small = keys.count() <= most
     return rows.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 

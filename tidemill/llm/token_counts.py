@@ -83,7 +83,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             missing = content.join(F.broadcast(owners.alias("o")), same, "left_semi")
         else:
             others = keyed.join(owners.withColumnsRenamed({"owner": "doc_id"}), ["digest", "doc_id"], "left_anti").select(F.col("digest"), F.col("doc_id").alias("owner"))
-            if others.limit(most + 1).count() <= most:
+            if others.count() <= most:
                 missing = content.join(F.broadcast(others.alias("o")), same, "left_anti")
             else:
                 missing = content.join(owners.alias("o").hint("merge"), same, "left_semi")
