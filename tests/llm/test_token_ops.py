@@ -137,7 +137,11 @@ def test_outliers_go_to_the_exception_list():
 def test_token_files(spark, plain, tmp_path):
     shuffled = docs(spark).repartition(3)
     folder = f"file://{tmp_path}/files"
-    manifest = token_files.write_token_files(shuffled, BPE, folder, file_ids=200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(shuffled, BPE, folder, file_ids=200)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.count() > 2
     rows = sorted(token_files.read_token_files(manifest, folder).collect(), key=lambda r: r.doc_id)
     at = 0

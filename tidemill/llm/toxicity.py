@@ -1,5 +1,6 @@
-"""Convolutional text classifier: hashed word embeddings, filters of widths 1 to 3, max pooling over
-the whole text and a logistic output, trained in numpy. Its decision threshold is calibrated for
+"""Convolutional text classifier: hashed word embeddings (the sum of those of a word and of its first
+four and five letters), filters of widths 1 to 3, max pooling over the whole text and a logistic
+output, trained in numpy. Its decision threshold is calibrated for
 each language as the text itself tells it (see langid), and the score is shifted so that the
 threshold lies at 0.5.
 
@@ -9,6 +10,7 @@ each. Empty table: empty. Without labels of both kinds the score is the share of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +24,7 @@ from tidemill.llm import langid
 from tidemill.llm.base import WordTable, flat_words, held_out, sampled, text_slices, workers_ready
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
+BEGINNINGS = (4, 5)
 #: Most labelled documents that training reads, about.
 TRAIN_DOCS = 6000
 TRIM = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -46,59 +49,82 @@ def split(text: bytes) -> list[bytes]:
 
 
 def buckets(words: list[bytes]) -> np.ndarray:
-    """A hash of each word without punctuation at its ends."""
-    return np.fromiter((xxhash.xxh32_intdigest(w.strip(TRIM)) % BUCKETS for w in words), np.int64, len(words))
+    """Hashes of each word without punctuation at its ends, and of its beginnings: words x 3."""
+    out = np.empty((len(words), 1 + len(BEGINNINGS)), np.int64)
+    for i, w in enumerate(words):
+        w = w.strip(TRIM)
+        text = w.decode("utf-8", "replace") if not w.isascii() else None
+        out[i, 0] = xxhash.xxh32_intdigest(w) % BUCKETS
+        for k, n in enumerate(BEGINNINGS, 1):
+            out[i, k] = xxhash.xxh32_intdigest(w[:n] if text is None else text[:n].encode(), seed=n) % BUCKETS
+    return out
 
 
-_words = WordTable(buckets)
+_tables_of: dict[str, WordTable] = {}
 
 
-def _padded(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two unknown words after each text, so that no filter reaches into the next one."""
-    pad = max(WIDTHS) - 1
-    return np.insert(ids, np.repeat(starts[1:], pad), 0), starts + pad * np.arange(len(starts))
+def _embedded(m: ToxicityModel) -> WordTable:
+    """The worker's table of word vectors for this model."""
+    if m.key not in _tables_of:
+        _tables_of.clear()
+        _tables_of[m.key] = WordTable(lambda words: m.emb[m.rows[buckets(words)]].sum(axis=1))
+    return _tables_of[m.key]
 
 
-def _pooled(tables: dict[int, list[np.ndarray]], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Largest answer of each filter in each text. tables: width -> a table of (row x filter) for each tap."""
-    out = []
-    for w, taps in tables.items():
-        n = len(ids) - w + 1
-        conv = taps[0][ids[:n]]
-        for j in range(1, w):
-            conv = conv + taps[j][ids[j : j + n]]
-        out.append(np.maximum.reduceat(conv, np.minimum(starts[:-1], n - 1), axis=0))
-    return np.concatenate(out, axis=1)
+def _padded(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Zeros after each text, so that no filter reaches into the next one; where the texts then start,
+    and where the positions end at which a filter may stand (one at least)."""
+    pad, sizes = max(WIDTHS) + 1, np.diff(starts)
+    first = starts[:-1] + pad * np.arange(len(sizes))
+    out = np.zeros((len(x) + pad * len(sizes), *x.shape[1:]), x.dtype)
+    out[np.arange(len(x)) + pad * np.repeat(np.arange(len(sizes)), sizes)] = x
+    return out, first, first + np.maximum(sizes, 1)
+
+
+def _convolved(m: ToxicityModel, x: np.ndarray, w: int) -> np.ndarray:
+    n = len(x) - w + 1
+    conv = x[:n] @ m.taps[w][0]
+    for j in range(1, w):
+        conv += x[j : j + n] @ m.taps[w][j]
+    return conv
 
 
-def _tables(m: ToxicityModel) -> dict[int, list[np.ndarray]]:
-    return {w: [(m.emb @ m.taps[w][j]).astype(np.float32) for j in range(w)] for w in WIDTHS}
+def _answers(m: ToxicityModel, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Log-odds of texts from their words' vectors."""
+    x, first, end = _padded(x, starts)
+    bounds = np.stack([first, end], axis=1).ravel()
+    pooled = np.concatenate([np.maximum.reduceat(_convolved(m, x, w), bounds, axis=0)[::2] for w in WIDTHS], axis=1)
+    return np.maximum(pooled + m.shift, 0) @ m.out + m.bias
 
 
-def raw_scores(m: ToxicityModel, texts: list[bytes], tables: dict[int, list[np.ndarray]] | None = None) -> np.ndarray:
+def raw_scores(m: ToxicityModel, texts: list[bytes]) -> np.ndarray:
     """Log-odds before calibration."""
     if not texts:
         return np.zeros(0)
     words, starts = flat_words(texts, split)
-    known = m.rows[_words.of(words)] if words else np.zeros(0, np.int64)
-    ids, starts = _padded(known, starts)
-    return np.maximum(_pooled(tables or _tables(m), ids, starts) + m.shift, 0) @ m.out + m.bias
+    return _answers(m, _embedded(m).of(words) if words else np.zeros((0, DIM), np.float32), starts)
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """Log-odds with the best F1; between the neighbours where it is reached."""
+    """Log-odds with the best F1: the middle of the range of thresholds that reach it."""
     order = np.argsort(-z)
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    i = int(f1.argmax())
-    return float((z[order][i] + z[order][min(i + 1, len(y) - 1)]) / 2)
+    top = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    low = z[order][min(top[-1] + 1, len(y) - 1)]
+    return float((z[order][top[0]] + low) / 2)
 
 
-def train(texts: list[bytes], labels: np.ndarray, language: langid.LanguageModel | None = None, epochs: int = 8, seed: int = 3) -> ToxicityModel:
+def train(texts: list[bytes], labels: np.ndarray, language: langid.LanguageModel | None = None, epochs: int | None = None, seed: int = 3) -> ToxicityModel:
     y, rng = np.asarray(labels, np.float32), np.random.default_rng(seed)
     base = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-    docs = [buckets(split(t)) for t in texts]
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]) if docs else np.zeros(0, np.int64), minlength=BUCKETS)
+    epochs = epochs or int(np.clip(60_000 / max(1, len(texts)), 8, 60))
+    table = WordTable(buckets, most=1 << 40)
+    docs = [table.ids(split(t)) for t in texts]  # numbers of words
+    triples = table.rows[: len(table.index)] if len(table.index) else np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
+    df = np.zeros(BUCKETS, np.int64)
+    for d in docs:
+        df[np.unique(triples[np.unique(d)])] += 1
     seen = np.flatnonzero(df >= (2 if len(texts) < 1500 else 4))
     rows = np.zeros(BUCKETS, np.int64)
     rows[seen] = np.arange(1, len(seen) + 1)
@@ -106,30 +132,28 @@ def train(texts: list[bytes], labels: np.ndarray, language: langid.LanguageModel
     taps = {w: rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
     k = FILTERS * len(WIDTHS)
     m = ToxicityModel(rows, emb, taps, np.zeros(k, np.float32), rng.normal(0, 0.3, k).astype(np.float32), float(np.log(base / (1 - base))), language)
-    m.key = str(rng.integers(1 << 62)) + f"-{len(texts)}-{hash(emb.tobytes())}"
+    m.key = f"{uuid.uuid4()}"
     if len(set(y.tolist())) < 2:
         m.out[:] = 0
-        m.thresholds, m.threshold = {}, 0.0
+        m.threshold = 0.0
         return m
-    docs = [rows[d] for d in docs]
+    triples = rows[triples]
     order = rng.permutation(len(docs))
     check, fit = order[: len(order) // 6], order[len(order) // 6 :]
     weight = np.where(y == 1, min(5.0, (1 - base) / base), 1.0).astype(np.float32)
     params = {"emb": m.emb, "shift": m.shift, "out": m.out, **{f"t{w}": taps[w] for w in WIDTHS}}
     first, second, step = {n: np.zeros_like(p) for n, p in params.items()}, {n: np.zeros_like(p) for n, p in params.items()}, 0
-    best, kept = np.inf, None
+    best, kept, stale = np.inf, None, 0
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(fit), max(1, len(fit) // 32)):
             step += 1
-            ids, starts = _padded(np.concatenate([docs[i] for i in at]), np.cumsum([0, *[len(docs[i]) for i in at]]))
-            x = m.emb[ids]
+            ids = np.concatenate([docs[i] for i in at])
+            tri, begin, end = _padded(triples[ids], np.cumsum([0, *[len(docs[i]) for i in at]]))
+            x = m.emb[tri].sum(axis=1)
             pooled, where = [], []
             for w in WIDTHS:
-                n = len(ids) - w + 1
-                conv = x[:n] @ taps[w][0]
-                for j in range(1, w):
-                    conv += x[j : j + n] @ taps[w][j]
-                pos = np.stack([a + conv[a : max(a + 1, z)].argmax(axis=0) for a, z in zip(np.minimum(starts[:-1], n - 1), np.minimum(starts[1:], n), strict=True)])
+                conv = _convolved(m, x, w)
+                pos = np.stack([a + conv[a:z].argmax(axis=0) for a, z in zip(begin, end, strict=True)])
                 where.append(pos)
                 pooled.append(np.take_along_axis(conv, pos, axis=0))
             h = np.concatenate(pooled, axis=1) + m.shift
@@ -143,7 +167,9 @@ def train(texts: list[bytes], labels: np.ndarray, language: langid.LanguageModel
                 for j in range(w):
                     tok = where[c] + j
                     gt[j] = np.einsum("nf,nfd->df", b, x[tok])
-                    np.add.at(grads["emb"], ids[tok].ravel(), (b[:, :, None] * taps[w][j].T[None]).reshape(-1, DIM))
+                    rise = (b[:, :, None] * taps[w][j].T[None]).reshape(-1, DIM)
+                    for r in tri[tok].reshape(-1, tri.shape[1]).T:
+                        np.add.at(grads["emb"], r, rise)
                 grads[f"t{w}"] = gt
             grads["emb"][0] = 0
             m.bias -= 0.05 * float(g.sum())
@@ -152,16 +178,19 @@ def train(texts: list[bytes], labels: np.ndarray, language: langid.LanguageModel
                 second[n] = 0.99 * second[n] + 0.01 * grads[n] ** 2
                 p -= 0.01 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-7)
         if len(check) >= 20:
-            z = _all(m, [docs[i] for i in check])
-            loss = float((np.logaddexp(0, z) - y[check] * z).mean())
+            z = _all(m, triples, [docs[i] for i in check])
+            loss = float((weight[check] * (np.logaddexp(0, z) - y[check] * z)).mean())
+            stale = 0 if loss < best else stale + 1
             if loss < best:
                 best, kept = loss, ({n: p.copy() for n, p in params.items()}, m.bias)
+            if stale >= 5:
+                break
     if kept:
         for n, p in params.items():
             p[...] = kept[0][n]
         m.bias = kept[1]
     seen_by = check if len(check) >= 60 and 5 <= y[check].sum() else order
-    z = _all(m, [docs[i] for i in seen_by])
+    z = _all(m, triples, [docs[i] for i in seen_by])
     m.threshold = _threshold(z, y[seen_by])
     if language is not None and language.langs:
         lang = np.concatenate([langid.predict(language, [texts[i]])[0] for i in seen_by])
@@ -173,18 +202,18 @@ def train(texts: list[bytes], labels: np.ndarray, language: langid.LanguageModel
     return m
 
 
-def _all(m: ToxicityModel, docs: list[np.ndarray]) -> np.ndarray:
-    tables, out = _tables(m), []
-    for part in np.array_split(np.arange(len(docs)), max(1, len(docs) // 256)):
+def _all(m: ToxicityModel, triples: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+    out = []
+    for part in np.array_split(np.arange(len(docs)), max(1, len(docs) // 64)):
         if len(part):
-            ids, starts = _padded(np.concatenate([docs[i] for i in part]), np.cumsum([0, *[len(docs[i]) for i in part]]))
-            out.append(np.maximum(_pooled(tables, ids, starts) + m.shift, 0) @ m.out + m.bias)
+            x = m.emb[triples[np.concatenate([docs[i] for i in part])]].sum(axis=1)
+            out.append(_answers(m, x, np.cumsum([0, *[len(docs[i]) for i in part]])))
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def scores(m: ToxicityModel, texts: list[bytes], tables: dict[int, list[np.ndarray]] | None = None) -> np.ndarray:
+def scores(m: ToxicityModel, texts: list[bytes]) -> np.ndarray:
     """Calibrated probabilities: 0.5 is the threshold of the text's language."""
-    z = raw_scores(m, texts, tables)
+    z = raw_scores(m, texts)
     at = np.full(len(texts), m.threshold)
     if m.thresholds and m.language is not None:
         lang, _, _ = langid.predict(m.language, texts)
@@ -207,13 +236,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: st
 
 
 def _score(m: ToxicityModel):
-    made: list = []
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(_tables(m))
         for b in batches:
-            got = [scores(m, texts, made[0]) for _, _, texts in text_slices(b)]
+            got = [scores(m, texts) for _, _, texts in text_slices(b)]
             yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())})
 
     return run
