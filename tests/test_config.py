@@ -51,3 +51,11 @@ def test_urls_and_backoff():
     assert sp.build_url(url="ecto://h/d") == "postgres://h/d"
     assert sp.reconnect_backoff(1000, jitter=0.5, draw=lambda: 1.0) == 1500 and sp.reconnect_backoff(10) == 100 and sp.reconnect_backoff(50_000, high_ms=20_000, jitter=0.5, draw=lambda: 1.0) == 20_000
     assert sp.truthy("yes") and not sp.truthy("no")
+
+
+def test_public_names():
+    import tidemill
+
+    assert all(getattr(tidemill, n) for n in tidemill.__all__)
+    with pytest.raises(AttributeError):
+        tidemill.nothing
