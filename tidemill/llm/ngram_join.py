@@ -7,15 +7,18 @@
    collision of the hashes themselves); sets up to SMALL shingles are compared whole, where sharing
    three quarters is certain. A prefix filter over these, rarest hash first, leaves few hashes of a set
    that link it to others; a hash that belongs to no other set never does.
-3. Blocks: a hash stands for the smallest class that has it in its prefix, so a group of near copies
-   meets in one block rather than in one for each shared hash.
+3. Blocks: a hash stands for the smallest class that has it in its prefix. First each class is held
+   against the smallest block it is in, which joins up nearly all of a group of near copies; then
+   every block that still holds members of several components is searched.
 4. Within a block the whole sets stand in a prefix tree, commonest shingle first. From a pivot set the
    tree is walked once, overlaps shared along its paths, and subtrees left when their remaining length
    can no longer reach half. Jaccard distance is a metric: a set linked to the pivot, and nearer to it by
-   more than 1/4 than any unlinked one, has no further links to find. Then the next pivot, until
-   none is left. Links are decided on the whole sets, in whole numbers.
-5. A block of more than BLOCK_SETS goes through such pivot rounds as a distributed join instead; what
-   a few rounds leave is dealt, every pair of sub-blocks together, to tasks of bounded size.
+   more than 1/4 than any unlinked one, has no further links to find. Then the next pivot, until all
+   that are left are known to be connected. Links are decided on the whole sets, in whole numbers.
+5. A block of more than BLOCK_SETS is dealt to chunks, each searched by itself. Then pivots, a few from
+   each label that isn't the block's commonest, are held against all chunks, and in the end all sets
+   that aren't of the commonest label: a stated query set against all rows, in chunks. After that no
+   two sets of a block with different labels are left uncompared.
 
 No pairs within a block are emitted, only pivot stars; components follow from these. Null and empty
 texts: no shingles, linked with nothing. Repeated rows fall into one class. Empty table: empty.
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.base import Scratch, WordTable, flat_words, keep_or_drop, text_slices
@@ -38,7 +41,9 @@ from tidemill.llm.components import connected_components
 WORDS, NUMERATOR = 5, 75
 SKETCH, NEEDED = 64, 17
 SMALL = SKETCH * NUMERATOR // 100
-BLOCK_SETS, ROUNDS = 200, 6
+BLOCK_SETS, PIVOTS, SPREAD_SETS = 64, 32, 400
+#: Cells of the table of shingles by pivots that one walk of a tree may fill.
+WALK_CELLS = 16_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,11 +81,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         if z - a >= WORDS:
             out.append(np.unique(r[a : z - WORDS + 1]))
         elif z > a:
-            v = np.uint64(z - a)
+            v = np.array([z - a], np.uint64)
             for x in h[a:z]:
                 v = (v ^ x) * _P
                 v ^= v >> np.uint64(32)
-            out.append(_mix(np.array([v], np.uint64)))
+            out.append(_mix(v))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -194,41 +199,63 @@ class PrefixTree:
             np.maximum.at(self.longest, self.parent[own], self.longest[own])
             np.minimum.at(self.shortest, self.parent[own], self.shortest[own])
 
-    def overlaps(self, pivot: int) -> np.ndarray:
-        """Size of each set's intersection with the pivot; -1 where their Jaccard is below a half."""
-        p = self.sets[pivot]
-        mark = np.zeros(self.n_values, np.int64)
-        mark[p] = 1
-        left = len(p) - np.searchsorted(p, self.final, side="right")  # of the pivot beyond each node
-        overlap = np.full(len(self.parent), -1, np.int64)
+    def overlaps(self, pivots: list[int]) -> np.ndarray:
+        """Size of each set's intersection with each pivot (a row for each); -1 where their Jaccard is
+        below a half. One walk of the tree serves all pivots."""
+        n_p = len(pivots)
+        mark = np.zeros((self.n_values, n_p), np.uint8)
+        left = np.empty((len(self.final), n_p), np.int32)  # of a pivot beyond each node
+        for k, p in enumerate(pivots):
+            mark[self.sets[p], k] = 1
+            left[:, k] = len(self.sets[p]) - np.searchsorted(self.sets[p], self.final, side="right")
+        size = self.size[pivots].astype(np.int32)
+        overlap = np.full((len(self.parent), n_p), -1, np.int32)
         for k in range(len(self.levels) - 1):
             nodes = np.arange(self.levels[k], self.levels[k + 1])
-            above = overlap[self.parent[nodes]] if k else np.zeros(len(nodes), np.int64)
-            nodes, above = nodes[above >= 0], above[above >= 0]
+            above = overlap[self.parent[nodes]] if k else np.zeros((len(nodes), n_p), np.int32)
+            live = (above >= 0).any(axis=1)
+            nodes, above = nodes[live], above[live]
             if not len(nodes):
                 break
             a, n = self.at[nodes], self.at[nodes + 1] - self.at[nodes]
             first = np.cumsum(n) - n
-            got = above + np.add.reduceat(mark[self.tokens[np.repeat(a - first, n) + np.arange(n.sum())]], first)
-            best = got + np.minimum(left[nodes], np.maximum(self.longest[nodes] - self.deep[nodes], 0))
-            union = len(p) + np.maximum(self.shortest[nodes], best) - best
-            overlap[nodes] = np.where(2 * best >= union, got, -1)
-        return overlap[self.terminal]
-
-
-def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Stars (pivot, member) that connect exactly what the links of a block connect."""
-    if len(sets) < 2:
+            got = above + np.add.reduceat(mark[self.tokens[np.repeat(a - first, n) + np.arange(n.sum())]], first, axis=0, dtype=np.int32)
+            best = got + np.minimum(left[nodes], np.maximum(self.longest[nodes] - self.deep[nodes], 0)[:, None])
+            union = size + np.maximum(self.shortest[nodes][:, None], best) - best
+            overlap[nodes] = np.where((above >= 0) & (2 * best >= union), got, -1)
+        return overlap[self.terminal].T
+
+
+def block_links(sets: list[np.ndarray], labels: list[int] | None = None, pivots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (pivot, member) that connect exactly what the links of a block connect. labels: sets with
+    the same one are known to be connected; the search ends when all that are left are. pivots: only
+    these are held against the others."""
+    label = np.arange(len(sets)) if labels is None else np.array(labels)
+    if len(np.unique(label)) < 2:
         return []
     tree, out = PrefixTree(sets), []
-    active = np.arange(len(sets))
-    while len(active) > 1:
-        p = int(active[0])
-        inter = tree.overlaps(p)[active]
+    active, queue = np.arange(len(sets)), list(pivots) if pivots is not None else None
+    ahead: dict[int, np.ndarray] = {}
+    together, limit = 1, max(1, WALK_CELLS // tree.n_values)
+    while queue != [] and len(np.unique(label[active])) > 1:
+        if queue is not None and len(queue) and (label == label[queue[0]]).all():
+            break
+        p = int(active[0]) if queue is None else queue[0]
+        if p not in ahead:
+            batch = (active.tolist() if queue is None else queue)[:together]
+            ahead = dict(zip(batch, tree.overlaps(batch), strict=True))
+            together = min(4 * together, limit)
+        inter = ahead[p][active]
         union = len(sets[p]) + tree.size[active] - inter
         far = inter < 0
         linked = ~far & (100 * inter >= NUMERATOR * union)
-        out += [(p, int(x)) for x in active[linked] if x != p]
+        for x in active[linked & (label[active] != label[p])]:
+            if label[x] != label[p]:
+                out.append((p, int(x)))
+                label[label == label[x]] = label[p]
+        if queue is not None:
+            queue.pop(0)
+            continue
         distance = np.where(far, 0.5, 1 - inter / union)  # of the pruned ones at least a half
         nearest = distance[~linked].min() if (~linked).any() else np.inf
         done = linked & (distance < nearest - (1 - NUMERATOR / 100) - 1e-9)
@@ -238,74 +265,85 @@ def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, cid, hashes) sorted by block -> edges; a block ends where the next begins."""
-    held: dict[int, np.ndarray] = {}
+    """Rows (block, part, chunk, cid, label, pivot, hashes) sorted by the first three -> edges; a chunk ends
+    where the next begins. If it has pivots, only these are held against the rest."""
+    held: dict[int, tuple[int, bool, np.ndarray]] = {}
     now = None
 
     def edges() -> pa.RecordBatch:
         ids = sorted(held)
-        pairs = block_links([held[i] for i in ids])
+        only = [k for k, i in enumerate(ids) if held[i][1]]
+        pairs = block_links([held[i][2] for i in ids], [held[i][0] for i in ids], only or None)
         return pa.record_batch({"u": pa.array([ids[a] for a, _ in pairs], pa.int64()), "v": pa.array([ids[b] for _, b in pairs], pa.int64())})
 
     for b in batches:
-        blocks, cids, sets = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("block", "cid", "hashes"))
-        for block, cid, s in zip(blocks, cids, sets, strict=True):
-            if block != now:
+        for block, part, chunk, cid, label, pivot, s in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("block", "part", "chunk", "cid", "label", "pivot", "hashes")), strict=True):
+            if (block, part, chunk) != now:
                 if len(held) > 1:
                     yield edges()
-                held, now = {}, block
-            held[cid] = np.frombuffer(s, np.uint64)
+                held, now = {}, (block, part, chunk)
+            held[cid] = label, pivot or (cid in held and held[cid][1]), np.frombuffer(s, np.uint64)
     if len(held) > 1:
         yield edges()
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, cid, hashes, pivot, pivot_hashes -> block, cid, pivot, intersection, union."""
-    for b in batches:
-        both = []
-        for s, p in zip(b.column(b.schema.get_field_index("hashes")).to_pylist(), b.column(b.schema.get_field_index("pivot_hashes")).to_pylist(), strict=True):
-            x, y = np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64)
-            at = np.searchsorted(y, x)
-            i = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            both.append((i, len(x) + len(y) - i))
-        yield pa.record_batch({**{c: b.column(b.schema.get_field_index(c)) for c in ("block", "cid", "pivot")}, "common": pa.array([x for x, _ in both], pa.int64()), "total": pa.array([y for _, y in both], pa.int64())})
-
-
-def _large_blocks(rows: DataFrame, sets: DataFrame, work: Scratch, most: int) -> tuple[list[DataFrame], DataFrame]:
-    """Pivot rounds over the blocks with more than `most` sets: edges found, and the rows (block, cid)
-    that are left, in blocks of at most `most`. rows: block, cid, n (size of the block)."""
-    found, small = [], []
-    for k in range(ROUNDS):
-        small.append(rows.where(F.col("n") <= most).select("block", "cid"))
-        rows = work.save(rows.where(F.col("n") > most).select("block", "cid"), f"large{k}")
-        pivots = work.save(rows.groupBy("block").agg(F.min("cid").alias("pivot")), f"pivots{k}")
-        n_pivots = pivots.count()
-        if not n_pivots:
+def _search(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges of rows (block, part, chunk, cid, label, pivot)."""
+    key = ["block", "part", "chunk"]
+    placed = rows.join(sets, "cid").select(*key, "cid", "label", "pivot", "hashes").repartition(*key).sortWithinPartitions(*key, "cid")
+    return placed.mapInArrow(_linked_blocks, "u long, v long")
+
+
+def _relabelled(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
+    """cid, label: of each node of an edge the smallest node within a few steps. Nodes with the same
+    label are connected; connected ones may still differ."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = work.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-near")
+    second = both.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
+    second = work.save(second, f"{name}-second")
+    jump = second.join(near.select(F.col("u").alias("m"), F.col("m").alias("m2")), "m", "left")
+    return work.save(jump.select(F.col("u").alias("cid"), F.least("u", "m", "m2").alias("label")), f"{name}-labels")
+
+
+def _dealt(n: Column, most: int, salt: int) -> tuple[Column, Column]:
+    """Number of parts of at most about `most` rows, and a row's part."""
+    parts = F.ceil(n / F.lit(most)).cast("int")
+    return parts, F.pmod(F.xxhash64("cid", F.lit(salt)), parts).cast("int")
+
+
+def _links(rows: DataFrame, sets: DataFrame, work: Scratch, phase: str, most: int, pivot_rounds: int) -> DataFrame:
+    """Edges (u, v) that connect what links within the blocks of rows (block, cid, label, guest)
+    connect, but for what the labels connect already. Rows that aren't guests were held against each
+    other before, so without guests a block has nothing to find."""
+    sizes = work.save(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g")).where("n > 1 AND g > 0"), f"{phase}-sizes")
+    rows = rows.join(sizes, "block")
+    chunks, chunk = _dealt(F.col("n"), most, 9)
+    rows = work.save(rows.select("block", F.lit(0).alias("part"), chunk.alias("chunk"), "cid", "label", "guest", "n", (F.col("g") == F.col("n")).alias("fresh"), chunks.alias("chunks")), f"{phase}-rows")
+    edges = work.save(_search(rows.where("chunks = 1 OR fresh").withColumn("pivot", F.col("guest") & ~F.col("fresh")), sets), f"{phase}-edges")
+    large = rows.where("chunks > 1").select("block", "cid", "label", "guest")
+    for k in range(pivot_rounds + 1):
+        if large.isEmpty():
             break
-        pivots = work.save(pivots.join(sets.select(F.col("cid").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot"), f"pivot_sets{k}")
-        size = pivots.agg(F.sum(F.octet_length("pivot_hashes")).alias("b")).first()["b"] or 0
-        members = rows.join(sets, "cid")
-        paired = members.join(F.broadcast(pivots) if size <= 8 << 20 else pivots, "block")
-        far = work.save(paired.select("block", "cid", "pivot", "hashes", "pivot_hashes").mapInArrow(_distances, "block long, cid long, pivot long, common long, total long"), f"distances{k}")
-        linked = F.lit(100) * F.col("common") >= F.lit(NUMERATOR) * F.col("total")
-        far = far.select("block", "cid", "pivot", (F.lit(1.0) - F.col("common") / F.col("total")).alias("d"), linked.alias("linked"))
-        found.append(far.where(F.col("linked") & (F.col("cid") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("cid").alias("v")))
-        nearest = work.save(far.groupBy("block").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("nearest")), f"nearest{k}")
-        done = (F.col("cid") == F.col("pivot")) | (F.col("linked") & (F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - (1 - NUMERATOR / 100) - 1e-9)))
-        left = work.save(far.join(nearest, "block").where(~done).select("block", "cid"), f"left{k}")
-        sizes = work.save(left.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{k}")
-        rows = left.join(sizes, "block").select("block", "cid", "n")
-    else:
-        small.append(rows.where(F.col("n") <= most).select("block", "cid"))
-        # every two of a block's parts meet in a sub-block of their own
-        parts = F.ceil(F.col("n") * 2 / F.lit(most)).cast("int")
-        dealt = rows.where(F.col("n") > most).select("block", "cid", parts.alias("g")).select("block", "cid", "g", F.pmod(F.xxhash64("cid", F.lit(9)), F.col("g")).cast("int").alias("r"))
-        dealt = dealt.select("block", "cid", "r", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-        small.append(dealt.select(F.xxhash64("block", F.least("r", "o"), F.greatest("r", "o")).alias("block"), "cid"))
-    out = small[0]
-    for s in small[1:]:
-        out = out.unionByName(s)
-    return found, out
+        known = _relabelled(edges.unionByName(rows.where("cid <> label").select(F.col("cid").alias("u"), F.col("label").alias("v"))), work, f"{phase}-{k}")
+        now = work.save(large.drop("label").join(known, "cid", "left").select("block", "cid", F.coalesce("label", "cid").alias("label"), "guest"), f"{phase}-{k}-large")
+        counts = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g"))
+        mains = counts.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("g").alias("g"), F.max("n").alias("most"), F.count(F.lit(1)).alias("labels"))
+        # guests against all, or all that aren't of the main label against all, whichever are fewer
+        mains = work.save(mains.where("labels > 1").select("block", "main", "n", (F.col("g") < F.col("n") - F.col("most")).alias("by_guest"), F.least("g", F.col("n") - F.col("most")).alias("p")), f"{phase}-{k}-mains")
+        large = work.save(now.join(mains, "block"), f"{phase}-{k}-left")
+        others = large.where(F.when(F.col("by_guest"), F.col("guest")).otherwise(F.col("label") != F.col("main")))
+        chunks, chunk = _dealt(F.col("n"), SPREAD_SETS, 9)
+        if k < pivot_rounds:
+            parts, part = F.lit(1), F.lit(0)
+            others = others.groupBy("block", F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(PIVOTS)).alias("salt")).agg(F.min("cid").alias("cid"), F.min_by("label", "cid").alias("label"), F.first("n").alias("n"))
+        else:
+            parts, part = _dealt(F.col("p"), SPREAD_SETS, 10)
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        members = large.select("block", numbers(parts).alias("part"), chunk.alias("chunk"), "cid", "label", F.lit(False).alias("pivot"))
+        spread = others.select("block", part.alias("part"), numbers(chunks).alias("chunk"), "cid", "label", F.lit(True).alias("pivot"))
+        edges = edges.unionByName(work.save(_search(members.unionByName(spread), sets), f"{phase}-{k}-edges"))
+        large = large.select("block", "cid", "label", "guest")
+    return edges
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -325,8 +363,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     work.drop("shared")
     owners = work.save(prefix.groupBy("t").agg(F.min("cid").alias("block"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "block"), "owners")
     blocks = work.save(prefix.join(owners, "t").select("block", "cid").distinct(), "blocks")
-    sizes = work.save(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    blocks = work.save(blocks.join(sizes, "block").select("block", "cid", "n"), "sized")
+    sizes = work.save(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"), "sizes")
+    blocks = work.save(blocks.join(sizes, "block"), "several")
     work.drop("prefix", "owners", "blocks", "sizes")
 
     wanted = work.save(blocks.select("cid").distinct().join(classes.select("cid", "rep", "digest"), "cid").select("cid", F.col("rep").alias("doc_id"), "digest"), "wanted")
@@ -334,12 +372,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = read.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("cid", "digest", "text")
     sets = work.save(texts.mapInArrow(_whole_sets, "cid long, hashes binary").dropDuplicates(["cid"]), "sets")
 
-    found, rest = _large_blocks(blocks, sets, work, block_sets)
-    placed = rest.join(sets, "cid").select("block", "cid", "hashes").repartition("block").sortWithinPartitions("block", "cid")
-    edges = placed.mapInArrow(_linked_blocks, "u long, v long")
-    for f in found:
-        edges = edges.unionByName(f)
-    edges = work.save(edges, "edges")
+    rows1 = blocks.groupBy("cid").agg(F.min("block").alias("block")).select("block", "cid", F.col("cid").alias("label"), F.lit(True).alias("guest"))
+    first = _links(rows1, sets, work, "first", block_sets, 1)
+    labels = work.save(connected_components(first, work).select(F.col("node").alias("cid"), F.col("component").alias("label")), "labels")
+    least = rows1.select("cid", F.col("block").alias("least"))
+    told = work.save(blocks.join(least, "cid").join(labels, "cid", "left").select("block", "cid", F.coalesce("label", "cid").alias("label"), (F.col("block") != F.col("least")).alias("guest")), "told")
+    mixed = work.save(told.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("block"), "mixed")
+    second = _links(told.join(mixed, "block"), sets, work, "second", block_sets, 0)
+    edges = work.save(labels.select(F.col("cid").alias("u"), F.col("label").alias("v")).unionByName(second), "edges")
     comps = work.save(connected_components(edges, work), "components")
     named = comps.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     firsts = work.save(named.groupBy("component").agg(F.min("rep").alias("component_id")), "firsts")
