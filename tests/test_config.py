@@ -33,7 +33,7 @@ def test_selection_and_inference():
 def test_stream_config():
     c = sp.StreamConfig.from_dict({"source_name": "s", "root": "/r", "meta_path": "m", "tables": [BASE], "ingest": {"max_rows": 5}})
     assert c.ingest.max_rows == 5 and c.ingest.max_bytes == 128 << 20 and c.tables[0].checkpoint_key == "s:public.users" and c.resume_incomplete_snapshot
-    for bad in ({"source_name": "s"}, {"source_name": "s", "root": "/r", "meta_path": "m", "tables": [BASE], "x": 1}):
+    for bad in ({"source_name": "s", "root": "/r", "meta_path": "m", "tables": [BASE], "buckets": 0}, {"source_name": "s"}, {"source_name": "s", "root": "/r", "meta_path": "m", "tables": [BASE], "x": 1}):
         with pytest.raises(sp.ConfigError):
             sp.StreamConfig.from_dict(bad)
     for bad in ({"max_rows": 0}, {"overflow": "explode"}, {"max_pending": -1}):

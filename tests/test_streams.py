@@ -17,7 +17,7 @@ USERS = {"source_schema": "public", "source_table": "users", "target_schema": "r
 
 
 def config(tmp_path, **more):
-    return StreamConfig.from_dict({"source_name": "app", "root": f"file://{tmp_path}/lake", "meta_path": str(tmp_path / "meta.db"), "tables": [USERS], "checkpoint_location": str(tmp_path / "cp")} | more)
+    return StreamConfig.from_dict({"source_name": "app", "root": f"file://{tmp_path}/lake", "meta_path": str(tmp_path / "meta.db"), "tables": [USERS], "checkpoint_location": str(tmp_path / "cp"), "buckets": 3} | more)
 
 
 def test_mirror_end_to_end(spark, tmp_path):
@@ -32,7 +32,7 @@ def test_mirror_end_to_end(spark, tmp_path):
     t = h.table("raw", "users")
     got = lambda *cols: sorted(tuple(r) for r in t.read().select(*cols).collect())
     try:
-        assert h.snapshot_counts == {"raw.users": 2} and got("id", "name") == [(1, "alice"), (2, "bob")]
+        assert t.manifest().n_buckets == 3 and h.snapshot_counts == {"raw.users": 2} and got("id", "name") == [(1, "alice"), (2, "bob")]
         fr.write_segment(wal, "001", [relation(), begin(1, 0x18), update(("1", "alice-2"), ("1", "alice")), delete("2", "bob"), insert("3", "carol"), commit(0x18, 0x20)])
         h.flush()
         assert got("id", "name") == [(1, "alice-2"), (3, "carol")]

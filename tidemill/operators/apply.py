@@ -181,7 +181,7 @@ def _append_changes(table: VersionedTable, m: Manifest, changes: DataFrame, lsn_
     return result("ok", counts, lsn_end, columns=schema.names)
 
 
-def apply_snapshot(table: VersionedTable, rows: DataFrame, keys: tuple[str, ...], boundary: str, batch_id: int | None = None) -> dict[str, Any]:
+def apply_snapshot(table: VersionedTable, rows: DataFrame, keys: tuple[str, ...], boundary: str, batch_id: int | None = None, n_buckets: int = BUCKETS) -> dict[str, Any]:
     """Applies typed snapshot rows (data columns only) as of the boundary; with keys by upsert, so that
     running it again gives the same table."""
     m = table.manifest()
@@ -190,7 +190,7 @@ def apply_snapshot(table: VersionedTable, rows: DataFrame, keys: tuple[str, ...]
     if not keys:
         return append_rows(table, rows, boundary, batch_id)
     schema = evolved(m.struct, rows.schema)
-    m2 = replace(m, keys=keys)
+    m2 = replace(m, keys=keys, n_buckets=m.n_buckets if m.schema else n_buckets)
     typed = conform(rows, T.StructType([f for f in schema if f.name in rows.columns]))
     null_key = F.lit(False)
     for k in keys:

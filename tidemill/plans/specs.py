@@ -130,6 +130,12 @@ class StreamConfig:
     default_start_lsn: str = "0/0"
     max_lag_bytes: int | None = None
     checkpoint_location: str | None = None
+    #: Of a new keyed table; about its final size by 256 MB, as a batch rewrites whole buckets.
+    buckets: int = 16
+
+    def __post_init__(self) -> None:
+        if self.buckets < 1:
+            raise ConfigError("buckets must be a positive whole number")
 
     @staticmethod
     def from_dict(raw: Mapping[str, Any]) -> StreamConfig:

@@ -39,7 +39,7 @@ def process_batch(spark: SparkSession, config: StreamConfig, meta: MetaStore, ba
         for spec in config.tables:
             table = VersionedTable(spark, config.root, *spec.target)
             own = routed.where((F.col("_relation_schema") == spec.source_schema) & (F.col("_relation_table") == spec.source_table))
-            res = advance(table, at, batch_id) if own.isEmpty() else apply_changes(table, own, spec.primary_keys, at, batch_id)
+            res = advance(table, at, batch_id) if own.isEmpty() else apply_changes(table, own, spec.primary_keys, at, batch_id, n_buckets=config.buckets)
             out[".".join(spec.target)] = res
             if observer:
                 observer(spec, res)
@@ -92,7 +92,7 @@ def start_stream(spark: SparkSession, config: StreamConfig, changes: Callable[[s
     if plan.run:
         edge = boundary() if boundary else checkpoint
         with_retries(lambda: meta.mark_pending(config.source_name, edge))
-        handle.snapshot_counts = run_snapshot({s: snapshots(s) for s in config.tables}, edge, lambda s, rows: apply_snapshot(handle.table(*s.target), payload(rows), s.primary_keys, edge) and None)
+        handle.snapshot_counts = run_snapshot({s: snapshots(s) for s in config.tables}, edge, lambda s, rows: apply_snapshot(handle.table(*s.target), payload(rows), s.primary_keys, edge, n_buckets=config.buckets) and None)
         for k in keys:
             meta.upsert_checkpoint(k, edge)
         with_retries(lambda: meta.mark_complete(config.source_name, edge))
