@@ -178,3 +178,23 @@ def test_joins_without_broadcast(spark):
     rows, keys = spark.range(10).toDF("k"), spark.range(5).toDF("k")
     for most in (2, 100):
         assert keep_or_drop(rows, keys, ["k"], "left_anti", most).count() == 5
+
+
+def test_samples_follow_the_total(spark):
+    from tidemill.llm.base import sampled
+
+    rows = spark.range(20_000).toDF("k")
+    assert 800 < sampled(rows, "k", 1000, 20_000).count() < 1200
+    assert sampled(rows, "k", 1000, 900).count() == 20_000
+    assert sampled(rows, "k", 6000, 10**13).count() < 10  # still a threshold above zero
+
+
+def test_sweep(spark):
+    from tidemill.llm import base
+    from tidemill.session import Files
+
+    work = Scratch(spark, "gone")
+    work.save(spark.range(3).toDF("k"), "t")
+    assert Files(spark).exists(work.path("t"))
+    base._delete(spark, work.folder)
+    assert not Files(spark).exists(work.folder)

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tests.conftest import SF, rows_of
 
-from tidemill.llm import langid, queries
+from tidemill.llm import langid, ngram_join, queries
 
 
 def test_oracles(spark, duck):
@@ -45,3 +45,9 @@ def test_stages_equal_brute_force(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and max(r.length for r in rows) <= 4096 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_ngram_join_equals_sql(spark, duck):
+    """Brute force in SQL, on the smallest tables only: it compares all pairs."""
+    got = queries.op10_ngram_join(spark, SF).select("doc_id", "n_shingles", "component_id").collect()
+    assert rows_of(got) == rows_of(duck.execute(ngram_join.ORACLE_SMALL).fetchall())
