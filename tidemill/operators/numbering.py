@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ def numbered_rows(rows: DataFrame, order_by: list[str | Column], name: str = "ro
     order = [F.col(o) if isinstance(o, str) else o for o in order_by]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     part = F.spark_partition_id()
-    dealt = dealt.withColumn("_part", part).withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33))
+    dealt = dealt.withColumn("_part", part).withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).persist(StorageLevel.MEMORY_AND_DISK)
     starts, at = [], 0
     for r in dealt.groupBy("_part").count().orderBy("_part").collect():
         starts.append((r["_part"], at))

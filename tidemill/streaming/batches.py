@@ -100,7 +100,7 @@ class BatchQueue:
 def batch_numbers(rows: DataFrame, order_by: list[str], max_rows: int) -> DataFrame:
     """Row-threshold batches of a table as a plan: batch_no from 0, in the given order."""
     out = numbered_rows(rows, order_by, "_number")
-    return out.withColumn("batch_no", F.floor((F.col("_number") - 1) / max_rows).cast("bigint")).drop("_number")
+    return out.withColumn("batch_no", F.call_function("div", F.col("_number") - 1, F.lit(max_rows))).drop("_number")
 
 
 def batch_stats(rows: DataFrame, seq: str, size: Column) -> DataFrame:
