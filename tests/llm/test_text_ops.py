@@ -56,6 +56,8 @@ def test_url_model():
         ('<article><p>Text.</p><div class="ad"><p>Buy</p></div><script>var a="</p>";</script><style>p{}</style><section id="comments"><p>First!</p></section><p>More.</p></article>', "Text. More."),
         ("<article><p>Cut in the mid", "Cut in the mid"),
         ('<body><div class="cookie-notice">We use cookies</div><main><p>Main.</p><aside>side</aside><form><input> name</form></main>', "Main."),
+        ('<div class="content with-sidebar"><p>Kept.</p><div class="sidebar">gone</div></div>', "Kept."),
+        ('<div id="banner"><p>All there is.</p></div>', "All there is."),
         ("<!-- a > b --><p title='a>b'>x < y</p>", "x < y"),
     ],
 )

@@ -32,6 +32,8 @@ RAW = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words in class, id or role that mark what isn't the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices banner alert popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe signup login search widget pagination pager skip toolbar complementary contentinfo".split())
+# First words of class names that tell of a wrapper's layout, not of its own role.
+WRAPPERS = frozenset("has with without no".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*?)(/?)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z]+")
@@ -42,13 +44,16 @@ def _marked(attributes: str) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
-        if any(x.lower() in MARKS for x in PARTS.findall(value)):
-            return True
+        for name in value.lower().split():
+            parts = PARTS.findall(name)
+            if parts and parts[0] not in WRAPPERS and any(x in MARKS for x in parts):
+                return True
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, weight, inside an article) of each block, and whether the page names an article."""
+def lines(page: str, roles: bool = True) -> tuple[list[tuple[str, int, bool]], bool]:
+    """(text, weight, inside an article) of each block, and whether the page names an article. roles:
+    heed class names, ids and roles."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = depth = inside = 0
@@ -107,7 +112,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 if depth == 0:
                     close()
                     silent = ""
-        elif not ending and not m[5] and (name in SILENT or (name == "header" and not inside) or (name not in ("body", "html") and _marked(attributes))):
+        elif not ending and not m[5] and (name in SILENT or (name == "header" and not inside) or (roles and name not in ("body", "html") and _marked(attributes))):
             close()
             silent, depth = name, 1
     close()
@@ -117,6 +122,9 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 def main_text(page: str) -> str:
     rows, named = lines(page)
     weight = [w if inside or not named else 0 for _, w, inside in rows]
+    if rows and not any(weight):  # all of it stands in elements whose names tell of something else
+        rows, named = lines(page, roles=False)
+        weight = [w if inside or not named else 0 for _, w, inside in rows]
     n = len(rows)
     sums = [sum(weight[i : i + WINDOW]) for i in range(n)]
     surge, dive = (1, 1) if named or sum(weight) < SURGE else (SURGE, DIVE)
