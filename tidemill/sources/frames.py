@@ -1,9 +1,10 @@
 """A replication transport kept in files: length-prefixed frames in segments, as a Spark data source.
 
 `spark.readStream.format("tidemill_frames").option("path", folder)` yields rows of CHANGE_SCHEMA of
-complete transactions only; offsets are commit positions, so a transaction is never split. A commit
-writes the acknowledged position to `ack`, after the batch is durable. The live network transport
-would implement the same reader around Session and status_update().
+complete transactions only, from a folder that the driver and all executors can open. Offsets are
+commit positions, so a transaction is never split. A commit writes the acknowledged position to
+`ack`, after the batch is durable. The live network transport would implement the same reader around
+Session and status_update().
 """
 
 from __future__ import annotations
