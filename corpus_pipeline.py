@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.llm import decontam, exact_dedup, langid, ngram_join, packing
 from tidemill.llm.base import Scratch, keep_or_drop

@@ -9,6 +9,7 @@ stays null; repeated rows are separate rows; an empty table gives an empty resul
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -16,23 +17,33 @@ import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 from pathlib import Path
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most keys (8 to 40 bytes each) that a join may broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Most keys (8 to 40 bytes each, about 60 MB as a hash relation) that a join may broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 300_000
 #: Bytes of text whose words are held as Python objects at one time.
 SLICE_BYTES = 2 << 20
 #: Words that a worker keeps with their features; the table starts anew beyond that.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
+#: Word tables that a worker keeps; workers serve one operator after another.
+TABLES_KEPT = 2
+#: Bytes of an Arrow batch, so that long texts don't make batches of 10,000 rows large.
+BATCH_BYTES = 8 << 20
+
+
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def workers_ready(spark: SparkSession) -> None:
-    """Lets Python workers of this machine import the package also when it isn't installed.
-    On a cluster ship it with --py-files; a path that isn't there does no harm."""
+    """Bounds Arrow batches by bytes, and lets Python workers of this machine import the package also
+    when it isn't installed. On a cluster ship it with --py-files; a path that isn't there does no harm."""
+    if spark.conf.get(_BATCH_CONF, None) is None:  # a limit that was set stays
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -52,12 +63,31 @@ def shared_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_folders: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def sweep() -> None:
+    """Deletes the scratch tables of this process; results that weren't written before are lost."""
+    while _folders:
+        folder, spark = _folders.popitem()
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark, folder)
+
+
 class Scratch:
-    """Tables written in the shared folder, to cut lineage so that a lost executor costs one stage."""
+    """Tables written in the shared folder, to cut lineage so that a lost executor costs one stage.
+    They stay until sweep(), at the latest until the process ends, as lazy results read them."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         workers_ready(spark)
         self.spark, self.folder = spark, f"{shared_root(spark)}/tidemill-{label}-{uuid.uuid4().hex[:12]}"
+        _folders[self.folder] = spark
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -68,10 +98,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
 
 
 def keep_or_drop(rows: DataFrame, keys: DataFrame, on: list[str], how: str, most: int = BROADCAST_KEYS) -> DataFrame:
@@ -117,15 +145,25 @@ class WordTable:
     """Features of words, computed once for each distinct word that a worker meets.
     features: list of words -> array with a row for each."""
 
+    kept: ClassVar[list[WordTable]] = []  # in order of use, the last used at the end
+
     def __init__(self, features: Callable[[list], np.ndarray], most: int = WORDS_KEPT) -> None:
         self.features, self.most = features, most
         self.clear()
 
+    def _used(self) -> None:
+        """Empties the tables that weren't used lately."""
+        if not self.kept or self.kept[-1] is not self:
+            self.kept[:] = [t for t in self.kept if t is not self] + [self]
+            while len(self.kept) > TABLES_KEPT:
+                self.kept.pop(0).clear()
+
     def clear(self) -> None:
         self.index, self.rows = _Numbered(), None
 
     def ids(self, words: list) -> np.ndarray:
         """The words' numbers; self.rows[number] then holds the features."""
+        self._used()
         if len(self.index) > self.most:
             self.clear()
         ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -165,8 +203,8 @@ def sampled(rows: DataFrame, key: str, about: int, total: int) -> DataFrame:
     """About `about` of the rows (all, if there are no more), by a hash of their key."""
     if total <= about:
         return rows
-    part = int(1_000_000 * about / total)
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(20)), F.lit(1_000_000)) < part)
+    part = (about << 56) // total
+    return rows.where(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(20)), 8) < F.lit(part))
 
 
 def held_out(key: str) -> F.Column:

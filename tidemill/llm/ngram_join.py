@@ -43,7 +43,7 @@ SKETCH, NEEDED = 64, 17
 SMALL = SKETCH * NUMERATOR // 100
 BLOCK_SETS, PIVOTS, SPREAD_SETS = 64, 32, 400
 #: Cells of the table of shingles by pivots that one walk of a tree may fill.
-WALK_CELLS = 16_000_000
+WALK_CELLS = 4_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
