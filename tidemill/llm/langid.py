@@ -25,8 +25,9 @@ BUCKETS, DIM = 1 << 15, 16
 GRAMS = (2, 3, 4)
 #: Most labelled documents that training reads, about.
 TRAIN_DOCS = 1500
-#: The share of right calibration answers that the rejection threshold may cost.
-LOST = 0.001
+#: The share of right calibration answers that the rejection threshold may cost, and its highest value:
+#: a text of two languages has about even odds, and that alone is no reason to reject it.
+LOST, HIGHEST = 0.001, 0.4
 UNKNOWN = "und"
 
 
@@ -114,8 +115,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float =
         model.temperature = min((0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0), key=loss)
         p = softmax(z * model.temperature)
         good = p.max(axis=1)[p.argmax(axis=1) == right]
-        # no more than the share LOST of right answers goes, and never a text that is more likely right than not
-        model.threshold = float(min(np.quantile(good, LOST), 0.5)) if len(good) else 0.0
+        model.threshold = float(min(np.quantile(good, LOST), HIGHEST)) if len(good) else 0.0
     model.key = f"{hash(model.table.tobytes())}"
     return model
 
