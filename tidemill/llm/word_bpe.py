@@ -1,25 +1,63 @@
 """Token ids of a word-level BPE whose pieces never hold white space: a text is cut at U+0020 and
 line feeds, and each distinct word is encoded once a worker. Spaces are starters of canonical
-composition and lower-casing goes by code point, so the ids are those of the whole text."""
+composition and lower-casing goes by code point, so the ids are those of the whole text.
+
+Words of Latin-1 letters, ASCII digits and punctuation take a short way where the file has the steps that are
+known here: canonical composition leaves them as they are, so lower-casing and one regular expression
+give the pieces that the library's model then merges. All other words go through the whole tokenizer.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
-from tidemill.llm.base import WORDS_KEPT, _Numbered
+from tidemill.llm.base import WordTable, _Numbered
 
 MARK = "\x01"
+WORDS_HELD = 500_000
+# The steps before the model for which the short way holds.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Printable ASCII and Latin-1 without spaces, controls and numbers other than ASCII digits.
+SHORT = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0xB2), *range(0xB4, 0xB9), 0xBA, 0xBB, *range(0xBF, 0x100)]))
+_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte: itself if it is printable, else the next one from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, other = [], 256
+    for b in range(256):
+        out.append(chr(b) if b in shown else chr(other))
+        other += b not in shown
+    return out
+
+
+_BYTE = byte_characters()
+TO_BYTES = {ord(c): "".join(_BYTE[b] for b in c.encode()) for c in map(chr, range(0xA1, 0x100))}
 _coders: dict[str, WordCoder] = {}
 
 
-class WordCoder:
-    def __init__(self, path: str, most: int = WORDS_KEPT) -> None:
+class WordCoder(WordTable):
+    def __init__(self, path: str, most: int = WORDS_HELD) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder, self.most = Tokenizer.from_file(path), most
+        made = json.loads(self.coder.to_str())
+        before = made.get("pre_tokenizer") or {}
+        known = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, BYTES]
+        short = (made.get("normalizer") or {}).get("normalizers") == NORMALIZERS and before.get("pretokenizers") == known and not made.get("post_processor")
+        self.merge = self.coder.model.tokenize if short else None
+        first = {t["content"][:1] for t in made.get("added_tokens", ())}  # words that may hold a special token go the long way
+        self.short = re.compile(f"[{re.escape(''.join(c for c in SHORT if c not in first))}]*").fullmatch
         mark = self._plain(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.clear()
@@ -34,6 +72,26 @@ class WordCoder:
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and how many each has."""
+        if self.merge is None:
+            return self._long(words)
+        out: list[list[int] | np.ndarray] = [()] * len(words)
+        rest, merge, short, cut = [], self.merge, self.short, PIECES.findall
+        for i, w in enumerate(words):
+            if not short(w):
+                rest.append(i)
+            elif w.isascii():
+                out[i] = [t.id for p in cut(w.lower()) for t in merge(p)]
+            else:
+                out[i] = [t.id for p in cut(w.lower()) for t in merge(p.translate(TO_BYTES))]
+        if rest:
+            ids, counts = self._long([words[i] for i in rest])
+            for i, part in zip(rest, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                out[i] = part
+        counts = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.int64, int(counts.sum())), counts
+
+    def _long(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the whole tokenizer: the words in one text, a mark that no word has after each."""
         if self.mark is None or any(MARK in w for w in words):
             each = [self._plain(w) for w in words]
             return np.concatenate(each), np.array([len(x) for x in each], np.int64)
@@ -60,17 +118,17 @@ class WordCoder:
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by end_id, and where each text's ids start."""
+        self._used()
         if len(self.index) > self.most:
             self.clear()
         parts = [t.decode("utf-8", "replace").replace("\n", " ").split(" ") for t in texts]
-        words = [w for p in parts for w in p]
-        ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum([len(p) for p in parts])  # each text has one word at least, perhaps an empty one
+        ids = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(ends[-1]) if len(ends) else 0)
         if self.index.fresh:
             self._learn()
         counts = self.length[ids]
         first = np.cumsum(counts) - counts
         flat = self.flat[np.repeat(self.start[ids] - first, counts) + np.arange(counts.sum())]
-        ends = np.cumsum([len(p) for p in parts])  # each text has one word at least, perhaps an empty one
         bounds = np.cumsum(counts)[ends - 1] if len(ends) else np.zeros(0, np.int64)
         return np.insert(flat, bounds, end_id), np.concatenate([[0], bounds + np.arange(1, len(bounds) + 1)])
 
