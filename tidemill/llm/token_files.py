@@ -1,13 +1,14 @@
 """Token files of patched frame-of-reference blocks.
 
 A file holds the ids of consecutive documents (ascending doc_id) in blocks of 256. A block stores
-its minimum, the differences packed at the width that a given share of them needs, and an
-exception list of (position, high bits) for the others; an index holds each block's start.
+its minimum, the differences packed at a width chosen among percentiles of their bit lengths (the
+one with the fewest bytes), and an exception list of (position, high bits) for the others; an index
+holds each block's start.
 
-    magic "TMPF" | u32 version | u64 documents | u64 ids | u64 blocks
+    magic "TMPF" | u32 version | u64 documents | u64 ids | u64 blocks | u64 bytes of an exception's high bits
     per document: i64 doc_id, u8 id present, then u64 ends (ids up to its end)
     per block: u32 minimum, u8 width, u16 exceptions, u64 start of its bytes
-    blocks: packed differences, then exceptions as u16 positions and u32 high bits
+    blocks: packed differences, then exceptions as u8 positions and u16 or u32 high bits
 
 Documents are range-partitioned by doc_id, so the concatenation of the files in the manifest's order
 is in ascending order; rows that repeat a doc_id follow by text, null ids come first. A null or empty text is
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.base import Scratch, text_slices, workers_ready
 
 MAGIC, VERSION, BLOCK = b"TMPF", 1, 256
-#: The share of a block's differences that its width must hold.
-SHARE = 0.9
+#: Percentiles of a block's bit lengths from which its width is chosen.
+SHARES = (0.5, 0.75, 0.9, 0.95, 0.98, 1.0)
 FILE_IDS = 4_000_000
 END_ID = 2
 MANIFEST = "part int, number int, path string, n_docs long, n_ids long"
@@ -41,56 +42,87 @@ def _bit_lengths(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
-def encode_blocks(ids: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Minimum, width, number of exceptions and start of each block, and the blocks' bytes."""
+def _packed(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values at w bits each, lowest bit first, as bytes."""
+    if w in (8, 16):
+        return np.ascontiguousarray(values.astype(f"<u{w // 8}")).view(np.uint8)
+    bits = ((values[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+
+
+def _unpacked(raw: np.ndarray, w: int) -> np.ndarray:
+    if w in (8, 16):
+        return np.ascontiguousarray(raw).view(f"<u{w // 8}").astype(np.uint32)
+    bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(raw), BLOCK, w)
+    out = np.zeros((len(raw), BLOCK), np.uint32)
+    for k in range(w):
+        out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
+    return out
+
+
+def _by_width(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks of the same width, some at a time."""
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width == w)
+        for part in np.array_split(at, max(1, len(at) // 512)):
+            yield w, part
+
+
+def _exception_places(width: np.ndarray, extra: np.ndarray, start: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each exception of all blocks: its block, and where its position and its high bits lie."""
+    extra = extra.astype(np.int64)
+    block = np.repeat(np.arange(len(extra)), extra)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(extra) - extra, extra)
+    base = (start.astype(np.int64) + width.astype(np.int64) * (BLOCK // 8))[block]
+    return block, base + nth, base + extra[block] + high * nth
+
+
+def encode_blocks(ids: np.ndarray, shares: tuple[float, ...] = SHARES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, bytes]:
+    """Minimum, width, number of exceptions and start of each block, bytes of high bits, and the blocks."""
     n = -(-len(ids) // BLOCK)
     padded = np.concatenate([ids, np.repeat(ids[-1:], n * BLOCK - len(ids))]).astype(np.int64).reshape(n, BLOCK)
     low = padded.min(axis=1)
     diff = (padded - low[:, None]).astype(np.uint32)
+    high = 2 if not len(diff) or int(diff.max()) < 1 << 16 else 4
     bits = _bit_lengths(diff)
-    width = np.sort(bits, axis=1)[:, max(0, int(np.ceil(share * BLOCK)) - 1)]
-    odd = bits > width[:, None]
-    extra = odd.sum(axis=1).astype(np.uint16)
-    sizes = width.astype(np.int64) * (BLOCK // 8) + 6 * extra.astype(np.int64)
+    ordered = np.sort(bits, axis=1)
+    widths = ordered[:, [max(0, int(np.ceil(p * BLOCK)) - 1) for p in shares]].astype(np.int64)
+    over = np.stack([(bits > widths[:, k, None]).sum(axis=1) for k in range(len(shares))], axis=1)
+    sizes = widths * (BLOCK // 8) + (1 + high) * over
+    best = sizes.argmin(axis=1)
+    rows = np.arange(n)
+    width, extra, sizes = widths[rows, best], over[rows, best], sizes[rows, best]
     start = np.cumsum(sizes) - sizes
     out = np.zeros(int(sizes.sum()), np.uint8)
-    for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        for part in np.array_split(at, max(1, len(at) // 512)):
-            if w:
-                b = ((diff[part][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(part), -1)
-                packed = np.packbits(b, axis=1, bitorder="little")
-                out[start[part][:, None] + np.arange(packed.shape[1])] = packed
-    for i in np.flatnonzero(extra):
-        pos = np.flatnonzero(odd[i]).astype("<u2")
-        high = (diff[i][pos] >> np.uint32(width[i])).astype("<u4")
-        at = int(start[i]) + int(width[i]) * (BLOCK // 8)
-        out[at : at + 6 * len(pos)] = np.frombuffer(pos.tobytes() + high.tobytes(), np.uint8)
-    return low.astype("<u4"), width.astype("u1"), extra.astype("<u2"), start.astype("<u8"), out.tobytes()
-
-
-def decode_blocks(low: np.ndarray, width: np.ndarray, extra: np.ndarray, start: np.ndarray, data: np.ndarray) -> np.ndarray:
+    for w, part in _by_width(width):
+        packed = _packed(diff[part] & np.uint32((1 << w) - 1), w)
+        out[start[part][:, None] + np.arange(packed.shape[1])] = packed
+    block, where, upper = _exception_places(width, extra, start, high)
+    odd_block, odd_at = np.nonzero(bits > width[:, None])
+    out[where] = odd_at
+    value = diff[odd_block, odd_at] >> width[odd_block].astype(np.uint32)
+    for k in range(high):
+        out[upper + k] = (value >> np.uint32(8 * k)) & np.uint32(255)
+    return low.astype("<u4"), width.astype("u1"), extra.astype("<u2"), start.astype("<u8"), high, out.tobytes()
+
+
+def decode_blocks(low: np.ndarray, width: np.ndarray, extra: np.ndarray, start: np.ndarray, high: int, data: np.ndarray) -> np.ndarray:
     """All ids of the blocks, with the last block's padding."""
     out = np.zeros((len(low), BLOCK), np.uint32)
-    start = start.astype(np.int64)
-    for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        for part in np.array_split(at, max(1, len(at) // 512)):
-            if w:
-                raw = data[start[part][:, None] + np.arange(int(w) * (BLOCK // 8))]
-                b = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(part), BLOCK, int(w)).astype(np.uint32)
-                out[part] = (b << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
-    for i in np.flatnonzero(extra):
-        n, at = int(extra[i]), int(start[i]) + int(width[i]) * (BLOCK // 8)
-        pos = np.frombuffer(data[at : at + 2 * n].tobytes(), "<u2")
-        high = np.frombuffer(data[at + 2 * n : at + 6 * n].tobytes(), "<u4")
-        out[i, pos] |= (high << np.uint32(width[i])).astype(np.uint32)
+    at = start.astype(np.int64)
+    for w, part in _by_width(width):
+        out[part] = _unpacked(data[at[part][:, None] + np.arange(w * (BLOCK // 8))], w)
+    block, where, upper = _exception_places(width, extra, start, high)
+    value = np.zeros(len(block), np.uint32)
+    for k in range(high):
+        value |= data[upper + k].astype(np.uint32) << np.uint32(8 * k)
+    out[block, data[where]] |= value << width[block].astype(np.uint32)
     return (out + low.astype(np.uint32)[:, None]).ravel()
 
 
 def file_bytes(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
-    low, width, extra, start, data = encode_blocks(ids)
-    head = MAGIC + struct.pack("<IQQQ", VERSION, len(doc_ids), len(ids), len(low))
+    low, width, extra, start, high, data = encode_blocks(ids)
+    head = MAGIC + struct.pack("<IQQQQ", VERSION, len(doc_ids), len(ids), len(low), high)
     known = np.array([d is not None for d in doc_ids], "u1")
     numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
     return b"".join([head, numbers.tobytes(), known.tobytes(), ends.astype("<u8").tobytes(), low.tobytes(), width.tobytes(), extra.tobytes(), start.tobytes(), data])
@@ -100,16 +132,16 @@ def parse_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, ends and ids of a file."""
     if raw[:4] != MAGIC:
         raise ValueError("not a token file")
-    version, n_docs, n_ids, n = struct.unpack_from("<IQQQ", raw, 4)
+    version, n_docs, n_ids, n, high = struct.unpack_from("<IQQQQ", raw, 4)
     if version != VERSION:
         raise ValueError(f"token file of version {version}")
-    at = 32
+    at = 40
     parts = []
     for kind, count in (("<i8", n_docs), ("u1", n_docs), ("<u8", n_docs), ("<u4", n), ("u1", n), ("<u2", n), ("<u8", n)):
         parts.append(np.frombuffer(raw, kind, count, at))
         at += parts[-1].nbytes
     numbers, known, ends, low, width, extra, start = parts
-    ids = decode_blocks(low, width, extra, start, np.frombuffer(raw, np.uint8, offset=at))[:n_ids]
+    ids = decode_blocks(low, width, extra, start, high, np.frombuffer(raw, np.uint8, offset=at))[:n_ids]
     return [int(d) if k else None for d, k in zip(numbers, known, strict=True)], ends.astype(np.int64), ids
 
 
