@@ -60,6 +60,13 @@ def _encode(path: str):
     return run
 
 
+def _not_owners(keyed: DataFrame, owners: DataFrame) -> DataFrame:
+    """digest, owner of the rows that needn't be encoded."""
+    k, o = keyed.alias("k"), owners.alias("o")
+    rest = k.join(o, F.col("k.digest").eqNullSafe(F.col("o.digest")) & F.col("k.doc_id").eqNullSafe(F.col("o.owner")), "left_anti")
+    return rest.select("digest", F.col("doc_id").alias("owner"))
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, cached (the count was there before this call).
 
@@ -77,16 +84,16 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     # one owner of each missing content; ids may be null or repeated, so the digest belongs to the key
     owners = work.save(keyed.groupBy("digest").agg(F.min("doc_id").alias("owner")).join(before, "digest", "left_anti"), "owners")
     n_owners = owners.count()
+    n_others = keyed.count() - n_owners
     if n_owners:
         same = content["digest"].eqNullSafe(F.col("o.digest")) & content["doc_id"].eqNullSafe(F.col("o.owner"))
-        if n_owners <= most:
+        if min(n_owners, n_others) > most:
+            missing = content.join(owners.alias("o").hint("merge"), same, "left_semi")
+        elif n_owners <= n_others:
             missing = content.join(F.broadcast(owners.alias("o")), same, "left_semi")
-        else:
-            others = keyed.join(owners.withColumnsRenamed({"owner": "doc_id"}), ["digest", "doc_id"], "left_anti").select(F.col("digest"), F.col("doc_id").alias("owner"))
-            if others.count() <= most:
-                missing = content.join(F.broadcast(others.alias("o")), same, "left_anti")
-            else:
-                missing = content.join(owners.alias("o").hint("merge"), same, "left_semi")
+        else:  # those that needn't be encoded are fewer
+            others = _not_owners(keyed, owners)
+            missing = content.join(F.broadcast(others.alias("o")), same, "left_anti")
         counted = missing.select("digest", "text").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
         counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
