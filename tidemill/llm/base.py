@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 #: Most keys (8 to 40 bytes each, about 60 MB as a hash relation) that a join may broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 300_000
 #: Bytes of text whose words are held as Python objects at one time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Words that a worker keeps with their features; the table starts anew beyond that.
 WORDS_KEPT = 150_000
 #: Word tables that a worker keeps; workers serve one operator after another.
 TABLES_KEPT = 2
 #: Bytes of an Arrow batch, so that long texts don't make batches of 10,000 rows large.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -149,16 +149,17 @@ class WordTable:
     features: list of words -> array with a row for each."""
 
     kept: ClassVar[list[WordTable]] = []  # in order of use, the last used at the end
+    alone = False  # whether it serves without others
 
-    def __init__(self, features: Callable[[list], np.ndarray], most: int = WORDS_KEPT) -> None:
-        self.features, self.most = features, most
+    def __init__(self, features: Callable[[list], np.ndarray], most: int = WORDS_KEPT, alone: bool = False) -> None:
+        self.features, self.most, self.alone = features, most, alone
         self.clear()
 
     def _used(self) -> None:
         """Empties the tables that weren't used lately."""
         if not self.kept or self.kept[-1] is not self:
             self.kept[:] = [t for t in self.kept if t is not self] + [self]
-            while len(self.kept) > TABLES_KEPT:
+            while len(self.kept) > (1 if self.alone else TABLES_KEPT):
                 self.kept.pop(0).clear()
 
     def clear(self) -> None:

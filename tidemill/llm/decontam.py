@@ -53,7 +53,7 @@ def _features(words: list[str]) -> np.ndarray:
     return out
 
 
-_words = WordTable(_features)
+_words = WordTable(_features, alone=True)
 
 
 def split(text: bytes) -> list[str]:

@@ -51,7 +51,7 @@ def _hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-_words = WordTable(_hash_words)
+_words = WordTable(_hash_words, alone=True)
 
 
 def split(text: bytes) -> list[bytes]:

@@ -46,6 +46,8 @@ _coders: dict[str, WordCoder] = {}
 
 
 class WordCoder(WordTable):
+    alone = True
+
     def __init__(self, path: str, most: int = WORDS_HELD) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
