@@ -73,6 +73,35 @@ def test_main_text_by_distribution():
     assert got.startswith("This sentence") and got.endswith("Short end.") and "Link" not in got and "More" not in got
 
 
+LINE = "a line of about thirty letters"
+LONG = f"<p>{'Text of a long paragraph. ' * 12}</p>"
+LINKS = "".join(f"<div><a href=/{i}>Link {i}</a></div>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p>{'<br>'.join([LINE] * 50)}</p>", [LINE] * 50),  # only short lines
+        (LINKS + f"<p>{'<br>'.join([LINE] * 50)}</p>" + LINKS, [LINE] * 50),
+        *((f"<p>{'<br>'.join(['x' * 24] * n)}</p>", ["x" * 24] * n) for n in (4, 5, 6)),  # about SURGE characters
+        (LINKS + "<h1>Title</h1><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p>" + LONG + LONG + LINKS, ["Title", "One.", "Two.", "Three.", "Four."]),
+        (LONG + LINKS + "<p>Alone.</p>" + LINKS + LONG, ["Alone."]),
+        (LONG + "<p><a href=/>Link</a></p><p>Last.</p><p><a href=/>Link</a></p>", ["Last."]),
+        (LINKS.join(["<p>First stanza.</p>", "<p>Second stanza.</p>", "<p>Third stanza.</p>"]), ["First stanza.", "Second stanza.", "Third stanza."]),
+    ],
+)
+def test_no_text_is_lost_without_an_article(page, want):
+    got = html_text.main_text(page)
+    assert " ".join(want) in got and "Link" not in got
+    assert got.count("Text of a long") == page.count("Text of a long")
+
+
+def test_silent_lines_part_the_text_from_stray_lines():
+    assert html_text.main_text("<p>Welcome, guest</p>" + LINKS + LONG + LINKS + "<p>© 2026</p>").split(". ")[0] == "Text of a long paragraph"
+    assert html_text.main_text(LONG + LINKS + "<p>© 2026</p>").endswith("paragraph.")
+    assert html_text.main_text(LINKS) == ""
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 3), (1, None, "<p>a</p>", 3), (None, "u", "x" * 100_000, 3)], "page_id long, url string, html string, n_chars int")
     got = html_text.extract(df).collect()

@@ -3,8 +3,10 @@
 Markup is stripped to one line for each block element. A line's weight is the length of its text
 outside links; text of menus, forms, adverts, scripts and the like weighs nothing, and where a page
 names its article (article, main), what lies outside weighs nothing either. Weights are summed over
-sliding windows of lines; the text runs from where the sums surge to where they dive, and the lines
-with weight between these points are kept.
+sliding windows of lines; where a sum is zero the page is parted. Where it names no article, the text
+runs from the first part that surges to the last one that does, and all lines with weight between
+these points are kept: of text with weight only parts before the first and after the last surge go,
+and these are shorter than SURGE and than half the page's longest part.
 
 Null or empty html: empty text. Repeated rows: a result row each. Empty table: empty. Broken markup
 (unclosed tags, a cut end) never fails; an unclosed menu ends where the article begins.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.base import text_slices, workers_ready
 
 WINDOW = 3
-#: Characters in a window of lines at which the text begins, and below which it ends, where the page names no article.
-SURGE, DIVE = 120, 40
+#: Characters with which a part of a page that names no article surges; on pages of shorter parts, half the longest one's.
+SURGE = 120
 # Element names.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol option optgroup p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 SILENT = frozenset("nav footer aside form noscript button select textarea template iframe svg menu dialog object canvas audio video head datalist".split())
@@ -125,23 +127,21 @@ def main_text(page: str) -> str:
     if rows and not any(weight):  # all of it stands in elements whose names tell of something else
         rows, named = lines(page, roles=False)
         weight = [w if inside or not named else 0 for _, w, inside in rows]
-    n = len(rows)
-    sums = [sum(weight[i : i + WINDOW]) for i in range(n)]
-    surge, dive = (1, 1) if named or sum(weight) < SURGE else (SURGE, DIVE)
-    kept: list[str] = []
-    i = 0
-    while i < n:
-        if sums[i] < surge or not weight[i]:
-            i += 1
-            continue
-        while i < n and sums[i] >= dive:
-            if weight[i]:
-                kept.append(rows[i][0])
-            i += 1
-        while i < n and weight[i]:  # the block in which the sums dive ends at its first silent line
-            kept.append(rows[i][0])
-            i += 1
-    return " ".join(kept)
+    first, end = (0, len(rows)) if named else _surge(weight)
+    return " ".join(text for (text, _, _), w in zip(rows[first:end], weight[first:end], strict=True) if w)
+
+
+def _surge(weight: list[int]) -> tuple[int, int]:
+    """First and end line of the text, by the sums of the windows of lines; all of the page if no window is silent."""
+    parts: list[list[int]] = []  # first line, end line, characters
+    for i, w in enumerate(weight):
+        if w:
+            if not parts or i - parts[-1][1] >= WINDOW:
+                parts.append([i, i, 0])
+            parts[-1][1:] = i + 1, parts[-1][2] + w
+    least = min(SURGE, max((n for *_, n in parts), default=0) / 2)
+    text = [(a, z) for a, z, n in parts if n >= least]
+    return (text[0][0], text[-1][1]) if text else (0, 0)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
