@@ -1,12 +1,13 @@
-"""Main text of web pages by line-block distribution.
+"""Main text of web pages, by tag where a page names its article, else by line-block distribution.
 
 Markup is stripped to one line for each block element. A line's weight is the length of its text
 outside links; text of menus, forms, adverts, scripts and the like weighs nothing, and where a page
-names its article (article, main), what lies outside weighs nothing either. Weights are summed over
-sliding windows of lines; where a sum is zero the page is parted. Where it names no article, the text
-runs from the first part that surges to the last one that does, and all lines with weight between
-these points are kept: of text with weight only parts before the first and after the last surge go,
-and these are shorter than SURGE and than half the page's longest part.
+names its article (article, main), what lies outside weighs nothing either, links inside count in full,
+and every line with weight is kept: the sums decide nothing there. On the other pages weights are
+summed over sliding windows of lines; where a sum is zero the page is parted. The text runs from the
+first part that surges to the last one that does, and all lines with weight between these points are
+kept: of text with weight only parts before the first and after the last surge go, and these are
+shorter than SURGE and than half the page's longest part.
 
 Null or empty html: empty text. Repeated rows: a result row each. Empty table: empty. Broken markup
 (unclosed tags, a cut end) never fails; an unclosed menu ends where the article begins.
