@@ -196,6 +196,16 @@ def test_templates(spark):
     assert not any(d in (3, 4, 5, 7) for d, _ in got)
 
 
+def test_items_with_few_literal_words():
+    """A copy is found by literal words and slot values together; one with other values isn't."""
+    items = ["Compute 3/4 + 5/6 of 20 kg.", "1 2 3 4 5 6 7 8 9 10 11 12", "one two", "", "Compute 3/4 + 5/6 of 20 kg"]
+    index = decontam.build_index(list(range(len(items))), [x.encode() for x in items])
+    filler = " ".join(f"filler{i}" for i in range(20))
+    texts = [f"{filler} compute 3/4 + 5/6 of 20 KG! {filler} {items[0]}", items[0], "compute 3/4 + 5/6 of 30 kg", "compute 3/4 + 5/6", "of 20 kg", f"{filler} 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12 {filler}", "1 2 3 4 5 6 7 8 9 10 11 13", "one two", ""]
+    got = [m[:2] for m in decontam.matches(index, [t.encode() for t in texts])]
+    assert sorted(got) == [(0, 0), (0, 4), (1, 0), (1, 4), (5, 1)]
+
+
 def test_inconsistent_slots():
     item = "if 3 apples cost 3 coins then 3 more apples will cost 3 further coins today".encode()
     index = decontam.build_index([0], [item])

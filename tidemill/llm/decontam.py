@@ -8,8 +8,10 @@ or name is fine, a changing one isn't). A document is contaminated by an item wh
 at least half of the item's.
 
 The benchmark is read in blocks of a fixed number of items, each block broadcast on its own, so its
-size has no effect on memory. Items with fewer words than a window count as one window of all their
-words, when at least four are literal. Null texts: as empty, never matched. Repeated rows: a result
+size has no effect on memory. Items without a window of enough literal words count as one window of
+all their words: by template when at least four are literal, else by their literal words and slot
+values together, so that a copy is found but not one with other values. Items of fewer than four words
+in all are never matched. Null texts: as empty, never matched. Repeated rows: a result
 row each. Empty tables: nothing is contaminated.
 """
 
@@ -107,7 +109,8 @@ def windows(c: Canonical) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class BenchmarkIndex:
-    """Windows of a block of items, sorted by hash; short items by their whole templates."""
+    """Windows of a block of items, sorted by hash; short items by their whole templates, those with
+    too few literal words by their values."""
 
     ids: list
     hashes: np.ndarray
@@ -116,12 +119,23 @@ class BenchmarkIndex:
     words: Canonical
     n_windows: np.ndarray
     short: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # words -> [(hash, item)]
+    exact: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # words -> hash of the values -> items
 
 
 def _whole(template: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(np.ascontiguousarray(template).tobytes(), seed=len(template))
 
 
+def _runs(value: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every `size` successive values."""
+    n = max(0, len(value) - size + 1)
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = (h ^ value[k : k + n]) * _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def build_index(ids: list, texts: list[bytes]) -> BenchmarkIndex:
     c = canonical(texts)
     at, h = windows(c)
@@ -130,8 +144,12 @@ def build_index(ids: list, texts: list[bytes]) -> BenchmarkIndex:
     index = BenchmarkIndex(ids, h[order], item[order], at[order], c, np.bincount(item, minlength=len(ids)))
     for i in range(len(ids)):
         a, z = c.starts[i], c.starts[i + 1]
-        if index.n_windows[i] == 0 and (c.kind[a:z] == LITERAL_KIND).sum() >= LITERAL:
+        if index.n_windows[i]:
+            continue
+        if (c.kind[a:z] == LITERAL_KIND).sum() >= LITERAL:
             index.short.setdefault(int(z - a), []).append((_whole(c.template[a:z]), i))
+        elif z - a >= LITERAL:
+            index.exact.setdefault(int(z - a), {}).setdefault(int(_runs(c.value[a:z], int(z - a))[0]), []).append(i)
     return index
 
 
@@ -163,6 +181,12 @@ def matches(index: BenchmarkIndex, texts: list[bytes]) -> list[tuple[int, int, i
             a, z = int(c.starts[d]), int(c.starts[d + 1])
             found = {x for s in range(a, z - size + 1) if (x := _whole(c.template[s : s + size])) in wanted}
             out += [(d, i, 1, 1, False) for x, i in items if x in found]
+    for size, items in index.exact.items():
+        h = _runs(c.value, size)
+        hit = np.flatnonzero(np.isin(h, np.array(list(items), np.uint64)))
+        doc = np.searchsorted(c.starts, hit, side="right") - 1
+        inside = hit + size <= c.starts[doc + 1]
+        out += [(d, i, 1, 1, False) for d, x in sorted(set(zip(doc[inside].tolist(), h[hit[inside]].tolist(), strict=True))) for i in items[x]]
     return out
 
 
