@@ -115,6 +115,18 @@ def test_ngram_join_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7] and kept.columns == ["doc_id", "text", "keep_id", "kept"]
 
 
+def test_a_bridge_without_an_id(spark):
+    """Texts that are linked only through one whose rows all have a null id."""
+    w = [f"w{k}" for k in range(104)]
+    texts = [(1, " ".join(w[:88])), (None, " ".join(w[:96])), (None, " ".join(w[:96])), (2, " ".join(w[8:104])), (None, "some other text of eight words in all"), (None, "and one more text of seven words")]
+    texts[3] = (2, " ".join(w[:104]))
+    texts[0] = (1, " ".join(w[20:96]))
+    linked = lambda a, b: 100 * len(shingles(a) & shingles(b)) >= 75 * len(shingles(a) | shingles(b))
+    assert linked(texts[0][1], texts[1][1]) and linked(texts[1][1], texts[3][1]) and not linked(texts[0][1], texts[3][1])
+    got = ngram_join.similar_components(frame(spark, texts)).collect()
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in got))) == sorted(map(str, [(1, 1), (None, 1), (None, 1), (2, 1), (None, None), (None, None)]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=1, max_size=14))
 def test_prefix_tree_overlaps(sets):

@@ -111,6 +111,12 @@ def keep_or_drop(rows: DataFrame, keys: DataFrame, on: list[str], how: str, most
     return rows.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 
+def row_key(id_col: str, text_col: str = "text") -> F.Column:
+    """A row's identifier (may be null) and its text's SHA-256, as a struct that is never null: rows with
+    the same one are repeats. Sorted by identifier, nulls first, then by digest."""
+    return F.struct(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"))
+
+
 def slices(lengths: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` bytes together, at least one row each."""
     lo, held = 0, 0

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import Scratch, WordTable, flat_words, keep_or_drop, text_slices
+from tidemill.llm.base import Scratch, WordTable, flat_words, keep_or_drop, row_key, text_slices
 from tidemill.llm.components import connected_components
 
 WORDS, NUMERATOR = 5, 75
@@ -105,7 +105,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(s[:SKETCH].view(np.int64))
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-        yield pa.record_batch({"doc_id": b.column(0), "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "sketch": pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))})
+        yield pa.record_batch({"row": b.column(0), "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "sketch": pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))})
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,12 +347,20 @@ def _links(rows: DataFrame, sets: DataFrame, work: Scratch, phase: str, most: in
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included; null
+    where all of them are)."""
+    return _components(docs, id_col, text_col, block_sets).select(F.col("row.id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "row.id").alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int) -> DataFrame:
+    """row (see row_key), n_shingles, component (its number; null without shingles), component_id."""
     work = Scratch(docs.sparkSession, "shingles")
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = work.save(read.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sketches")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = work.save(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(row_key("doc_id").alias("row"), "text")
+    rows = work.save(read.mapInArrow(_sketches, "row struct<id: long, sha: binary>, n_shingles long, digest binary, sketch array<long>"), "sketches")
+    # the row whose text is read again for the class; null ids come last
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("row.id").isNull(), "row")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "digest", F.col("first.row").alias("row"), F.col("first.row.id").alias("rep"), "n", "sketch")
+    classes = work.save(classes, "classes")
 
     hashes = classes.select("cid", F.explode("sketch").alias("t"))
     shared = work.save(hashes.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
@@ -367,9 +375,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = work.save(blocks.join(sizes, "block"), "several")
     work.drop("prefix", "owners", "blocks", "sizes")
 
-    wanted = work.save(blocks.select("cid").distinct().join(classes.select("cid", "rep", "digest"), "cid").select("cid", F.col("rep").alias("doc_id"), "digest"), "wanted")
+    wanted = work.save(blocks.select("cid").distinct().join(classes.select("cid", "row", "digest"), "cid").select("cid", "row", "digest"), "wanted")
     few = wanted.count() <= 300_000
-    texts = read.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("cid", "digest", "text")
+    texts = read.join(F.broadcast(wanted) if few else wanted.hint("merge"), "row").select("cid", "digest", "text")
     sets = work.save(texts.mapInArrow(_whole_sets, "cid long, hashes binary").dropDuplicates(["cid"]), "sets")
 
     rows1 = blocks.groupBy("cid").agg(F.min("block").alias("block")).select("block", "cid", F.col("cid").alias("label"), F.lit(True).alias("guest"))
@@ -383,9 +391,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = work.save(connected_components(edges, work), "components")
     named = comps.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     firsts = work.save(named.groupBy("component").agg(F.min("rep").alias("component_id")), "firsts")
-    of_class = comps.join(firsts, "component").select(F.col("node").alias("cid"), "component_id")
-    of_class = work.save(classes.select("cid", "digest", "rep").join(of_class, "cid", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = comps.join(firsts, "component").select(F.col("node").alias("cid"), "component", "component_id")
+    of_class = classes.select("cid", "digest", "rep").join(of_class, "cid", "left")
+    of_class = work.save(of_class.select("digest", F.coalesce("component", "cid").alias("component"), F.coalesce("component_id", "rep").alias("component_id")), "named")
+    return rows.select("row", "n_shingles", "digest").join(of_class, "digest", "left").select("row", "n_shingles", "component", "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
