@@ -42,6 +42,24 @@ def test_stages_equal_brute_force(spark):
         now = spark.createDataFrame(after.collect(), docs.schema)
 
 
+def test_stages_with_repeated_and_null_ids(spark):
+    """Rows are told apart by id and text; of repeats one stays."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    near_a = a + " more"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = [(5, a), (7, a.upper()), (5, b), (None, b), (None, c), (None, c), (8, d), (8, d), (8, d.upper()), (None, None), (9, "")]
+    for docs in (rows, rows * 3):
+        got = of(corpus_pipeline.exact(spark, frame([(*r, "x") for r in docs]), SF))
+        assert [(i, (t or "").lower()) for i, t in got] == sorted([(7, a), (5, b), (None, c), (8, d), (9, "")], key=str)
+    rows = [(5, near_a), (4, a), (5, b), (None, b), (None, c), (None, c), (None, c + " more"), (8, d), (8, d), (8, d + " more")]
+    for docs in (rows, rows * 3):
+        kept = corpus_pipeline.near(spark, frame([(*r, "x") for r in docs]), SF)
+        got = of(kept)
+        assert kept.columns == ["doc_id", "text", "lang"] and len(got) == 4
+        assert [(i, t[0]) for i, t in got] == sorted([(4, "a"), (5, "b"), (None, "c"), (8, "d")], key=str)
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and max(r.length for r in rows) <= 4096 and corpus_pipeline.ORACLE_SQL is None

@@ -111,12 +111,26 @@ def keep_or_drop(rows: DataFrame, keys: DataFrame, on: list[str], how: str, most
     return rows.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 
+#: The column by which rows are told apart; row_key() makes it.
+ROW = "tidemill_row"
+
+
 def row_key(id_col: str, text_col: str = "text") -> F.Column:
     """A row's identifier (may be null) and its text's SHA-256, as a struct that is never null: rows with
     the same one are repeats. Sorted by identifier, nulls first, then by digest."""
     return F.struct(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"))
 
 
+def keep_rows(docs: DataFrame, key: F.Column, keys: DataFrame) -> DataFrame:
+    """docs without the rows of keys (ROW, gone) that are gone, and with one row for each of those that
+    aren't, which are repeats. keys: a saved table. Every column as it was."""
+    rows, again = docs.withColumn(ROW, key), keys.where("not gone").select(ROW)
+    if again.isEmpty():
+        return keep_or_drop(rows, keys.select(ROW), [ROW], "left_anti").drop(ROW)
+    others = keep_or_drop(rows, keys.select(ROW), [ROW], "left_anti")
+    return others.unionByName(keep_or_drop(rows, again, [ROW], "left_semi").dropDuplicates([ROW])).drop(ROW)
+
+
 def slices(lengths: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` bytes together, at least one row each."""
     lo, held = 0, 0

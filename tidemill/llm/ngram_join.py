@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import Scratch, WordTable, flat_words, keep_or_drop, row_key, text_slices
+from tidemill.llm.base import ROW, Scratch, WordTable, flat_words, keep_rows, row_key, text_slices
 from tidemill.llm.components import connected_components
 
 WORDS, NUMERATOR = 5, 75
@@ -398,9 +398,15 @@ def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int) ->
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id."""
-    others = Scratch(docs.sparkSession, "near").save(similar_components(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "others")
-    return keep_or_drop(docs, others, [id_col], "left_anti")
+    """docs with one document of each component, the one with the smallest id; rows are told apart by id
+    and text, nulls come last, and of rows that repeat the one that stays one stays."""
+    work = Scratch(docs.sparkSession, "near")
+    found = work.save(_components(docs, id_col, text_col, BLOCK_SETS).where("component is not null").groupBy("component", "row").agg(F.count(F.lit(1)).alias("n")), "rows")
+    firsts = found.groupBy("component").agg(F.min(F.struct(F.col("row.id").isNull(), "row")).alias("first"))
+    firsts = work.save(firsts.select("component", F.col("first.row").alias("first")), "firsts")
+    keys = found.join(firsts, "component").select(F.col("row").alias(ROW), (~F.col("row").eqNullSafe(F.col("first"))).alias("gone"), "n").where("gone or n > 1").select(ROW, "gone")
+    key = F.struct(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col)["sha"].alias("sha"))
+    return keep_rows(docs, key, work.save(keys, "keys"))
 
 
 # The components by brute force in SQL; for small tables only.
