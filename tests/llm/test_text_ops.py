@@ -173,6 +173,14 @@ def test_toxicity_rows(spark):
     assert toxicity.score(docs, nothing).count() == 100 and toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_languages_of_all_ids(spark, monkeypatch):
+    """Also of those that appear at the highest ids only."""
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 20)
+    docs = spark.createDataFrame([(i, f"{'the and of' if i < 80 else 'der und von'} {i}", "en" if i < 80 else "de") for i in range(100)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    assert toxicity.learn(docs, marks).language.langs == ["de", "en"]
+
+
 # --- decontamination
 
 ITEMS = ["A train leaves Paris at 9 and travels 120 km in 3 hours. How far does Anna get in 5 hours?", "short item of words here", "one two", None]

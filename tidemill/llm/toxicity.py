@@ -223,14 +223,15 @@ def scores(m: ToxicityModel, texts: list[bytes]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> ToxicityModel:
-    """Trains on about `most` labelled rows (by a hash of the id) outside the held-out fold."""
+    """Trains on about `most` labelled rows (by a hash of the id) outside the held-out fold; the language
+    model that chooses the thresholds is fitted on all of these that tell their language."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out("doc_id"))
     chosen = sampled(known, "doc_id", most, known.count()).groupBy("doc_id").agg(F.max("label").alias("label"))  # at most about `most` rows, so they can be broadcast
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = read.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "label").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     texts = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
-    told = [i for i, r in enumerate(rows) if r["lang"] is not None][: langid.TRAIN_DOCS]
+    told = [i for i, r in enumerate(rows) if r["lang"] is not None]
     language = langid.train([texts[i] for i in told], [rows[i]["lang"] for i in told]) if told else None
     return train(texts, np.array([r["label"] for r in rows], np.float32), language)
 
