@@ -1,5 +1,6 @@
-"""What the operators of this subpackage share: the shared scratch folder, a per-worker word
-table, and joins whose small side is broadcast only after its size was counted.
+"""What the operators of this subpackage share: the shared scratch folder, decisions about rows that
+tasks look up by the rows' places (so texts are never shuffled), a per-worker word table, and joins
+whose small side is broadcast only after its size was counted.
 
 Conventions of every operator here: columns are chosen by name, so other columns of the input
 (also ones named like an output) are ignored; a null text is an empty text; a null identifier
@@ -22,6 +23,8 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,24 +114,117 @@ def keep_or_drop(rows: DataFrame, keys: DataFrame, on: list[str], how: str, most
     return rows.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 
-#: The column by which rows are told apart; row_key() makes it.
-ROW = "tidemill_row"
-
-
-def row_key(id_col: str, text_col: str = "text") -> F.Column:
-    """A row's identifier (may be null) and its text's SHA-256, as a struct that is never null: rows with
-    the same one are repeats. Sorted by identifier, nulls first, then by digest."""
-    return F.struct(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"))
-
-
-def keep_rows(docs: DataFrame, key: F.Column, keys: DataFrame) -> DataFrame:
-    """docs without the rows of keys (ROW, gone) that are gone, and with one row for each of those that
-    aren't, which are repeats. keys: a saved table. Every column as it was."""
-    rows, again = docs.withColumn(ROW, key), keys.where("not gone").select(ROW)
-    if again.isEmpty():
-        return keep_or_drop(rows, keys.select(ROW), [ROW], "left_anti").drop(ROW)
-    others = keep_or_drop(rows, keys.select(ROW), [ROW], "left_anti")
-    return others.unionByName(keep_or_drop(rows, again, [ROW], "left_semi").dropDuplicates([ROW])).drop(ROW)
+#: Where a row stands: a hash of its file's path, and its number in that file. Never null, and no two rows share it.
+FILE, AT = "tidemill_file", "tidemill_at"
+#: Bytes of a row group of tables that tasks look up, so that a task holds few rows that aren't its own.
+GROUP_BYTES = 1 << 20
+#: A group with more than one row of so many counts as hot; there are fewer than this many hot groups.
+HOT_SHARE = 1000
+
+
+def located(docs: DataFrame, work: Scratch) -> DataFrame:
+    """docs with FILE and AT. What isn't plainly read from Parquet files is written first, so that each
+    reading of the result finds every row at the same place."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+
+    def places(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(meta["file_path"]).alias(FILE), meta["row_index"].alias(AT))
+
+    if node.nodeName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):  # a file format that doesn't number its rows
+            return places(docs)
+    return places(work.save(docs, "located"))
+
+
+class Lookup:
+    """A table of rows (FILE, AT, ...) that tasks look up by the places of the rows they scan: each task
+    reads the row groups of its own places, so nothing is broadcast but the bounds of the table's files,
+    of which there is one for each task that wrote it."""
+
+    def __init__(self, rows: DataFrame, work: Scratch, name: str) -> None:
+        workers_ready(work.spark)
+        self.folder = work.path(name)
+        ordered = rows.repartitionByRange(FILE, AT).sortWithinPartitions(FILE, AT)
+        ordered.write.option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(self.folder)
+        saved = work.spark.read.schema(rows.schema).parquet(self.folder)
+        place = F.struct(FILE, AT)
+        files = saved.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).collect()
+        self.files = sorted((tuple(r["lo"]), tuple(r["hi"]), r["name"]) for r in files)
+
+    def reader(self) -> Callable[[pa.RecordBatch], tuple[np.ndarray, pa.Table | None]]:
+        """For a batch with FILE and AT: the numbers of its rows that the table has, and their table rows."""
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(self.folder)
+        opened: dict[str, pq.ParquetFile] = {}
+        read: dict[tuple[str, int], pa.Table] = {}
+
+        def groups(file: int, lo: int, hi: int) -> Iterator[pa.Table]:
+            wanted = {}
+            for first, last, name in self.files:
+                if last < (file, lo) or first > (file, hi):
+                    continue
+                if name not in opened:
+                    opened[name] = pq.ParquetFile(store.open_input_file(f"{base}/{name}"))
+                meta = opened[name].metadata
+                column = {meta.schema.column(c).path: c for c in range(meta.num_columns)}
+                for g in range(meta.num_row_groups):
+                    f, a = (meta.row_group(g).column(column[c]).statistics for c in (FILE, AT))
+                    if f.min <= file <= f.max and (f.min < f.max or (a.min <= hi and a.max >= lo)):
+                        wanted[name, g] = read.get((name, g)) or opened[name].read_row_group(g)
+            for name in [n for n in opened if all(n != x for x, _ in wanted)]:
+                opened.pop(name).close()
+            read.clear()
+            read.update(wanted)
+            yield from wanted.values()
+
+        def find(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Table | None]:
+            file, at = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (FILE, AT))
+            rows, found = [], []
+            for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(file)) + 1) if len(at) else []:
+                places = at[own]  # ascending, as the scan reads them
+                for t in groups(int(file[own[0]]), int(places[0]), int(places[-1])):
+                    there = t.column(AT).to_numpy()
+                    k = np.minimum(np.searchsorted(places, there), len(places) - 1)
+                    hit = np.flatnonzero((places[k] == there) & (t.column(FILE).to_numpy() == file[own[0]]))
+                    if len(hit):
+                        rows.append(own[k[hit]])
+                        found.append(t.take(pa.array(hit)))
+            return (np.concatenate(rows), pa.concat_tables(found)) if rows else (np.zeros(0, np.int64), None)
+
+        return find
+
+
+def without(docs: DataFrame, gone: DataFrame, work: Scratch, name: str = "gone") -> DataFrame:
+    """docs, which has FILE and AT, without the rows at the places of gone, and without these columns. No
+    row of docs is shuffled."""
+    schema = docs.drop(FILE, AT).schema
+    lookup = Lookup(gone.select(FILE, AT), work, name)
+    if not lookup.files:
+        return docs.drop(FILE, AT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = lookup.reader()
+        for b in batches:
+            stays = np.ones(b.num_rows, bool)
+            stays[find(b)[0]] = False
+            yield b.select(schema.names).filter(pa.array(stays))
+
+    return docs.mapInArrow(run, schema)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str) -> DataFrame:
+    """rows joined with the one row of their group. Groups with over 1/HOT_SHARE of all rows (column `size`)
+    are broadcast, fewer than HOT_SHARE of them, and the others are joined by a shuffle that no single
+    group can fill. groups: a saved table."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot = F.broadcast(groups.where(is_hot))
+    others = rows.join(hot.select(on), on, "left_anti").join(groups.where(~is_hot), on)
+    return rows.join(hot, on).unionByName(others)
 
 
 def slices(lengths: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import ROW, Scratch, WordTable, flat_words, keep_rows, row_key, text_slices
+from tidemill.llm.base import AT, FILE, Lookup, Scratch, WordTable, flat_words, join_groups, located, text_slices, without
 from tidemill.llm.components import connected_components
 
 WORDS, NUMERATOR = 5, 75
@@ -105,19 +105,22 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(s[:SKETCH].view(np.int64))
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-        yield pa.record_batch({"row": b.column(0), "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "sketch": pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))})
+        yield pa.record_batch({**{c: b.column(b.schema.get_field_index(c)) for c in ("doc_id", FILE, AT)}, "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "sketch": pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))})
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, digest, text -> cid, hashes; rows whose text isn't the class's (an id that repeats) go."""
-    for b in batches:
-        want, cid, out, kept = b.column(b.schema.get_field_index("digest")).to_pylist(), b.column(0).to_pylist(), [], []
-        for lo, _, texts in text_slices(b):
-            for k, s in enumerate(shingle_sets(texts)):
-                if _digest(s) == want[lo + k]:
-                    kept.append(cid[lo + k])
-                    out.append(s.tobytes())
-        yield pa.record_batch({"cid": pa.array(kept, pa.int64()), "hashes": pa.array(out, pa.binary())})
+def _whole_sets(lookup: Lookup):
+    """FILE, AT, text -> cid, hashes of the rows that the lookup has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = lookup.reader()
+        for b in batches:
+            rows, found = find(b)
+            if found is None:
+                continue
+            out = [s.tobytes() for _, _, texts in text_slices(b.take(pa.array(rows))) for s in shingle_sets(texts)]
+            yield pa.record_batch({"cid": found.column("cid").combine_chunks(), "hashes": pa.array(out, pa.binary())})
+
+    return run
 
 
 class PrefixTree:
@@ -349,18 +352,21 @@ def _links(rows: DataFrame, sets: DataFrame, work: Scratch, phase: str, most: in
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included; null
     where all of them are)."""
-    return _components(docs, id_col, text_col, block_sets).select(F.col("row.id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "row.id").alias("component_id"))
+    work = Scratch(docs.sparkSession, "shingles")
+    rows, classes = _components(located(docs, work), id_col, text_col, block_sets, work)
+    linked = join_groups(rows.where("digest is not null").select("doc_id", "n_shingles", "digest"), classes, "digest", "n_rows")
+    alone = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "n_shingles", F.col("first.id").alias("component_id")).unionByName(alone)
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int) -> DataFrame:
-    """row (see row_key), n_shingles, component (its number; null without shingles), component_id."""
-    work = Scratch(docs.sparkSession, "shingles")
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(row_key("doc_id").alias("row"), "text")
-    rows = work.save(read.mapInArrow(_sketches, "row struct<id: long, sha: binary>, n_shingles long, digest binary, sketch array<long>"), "sketches")
-    # the row whose text is read again for the class; null ids come last
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("row.id").isNull(), "row")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "digest", F.col("first.row").alias("row"), F.col("first.row.id").alias("rep"), "n", "sketch")
-    classes = work.save(classes, "classes")
+def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, FILE, AT, n_shingles, digest; null without shingles), and classes (digest, n_rows,
+    first: id and place of the first row of the class's component, null ids last)."""
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), FILE, AT, F.col(text_col).alias("text"))
+    rows = work.save(read.mapInArrow(_sketches, f"doc_id long, {FILE} long, {AT} long, n_shingles long, digest binary, sketch array<long>"), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), FILE, AT)
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n_rows"))
+    classes = work.save(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
 
     hashes = classes.select("cid", F.explode("sketch").alias("t"))
     shared = work.save(hashes.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
@@ -375,10 +381,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int) ->
     blocks = work.save(blocks.join(sizes, "block"), "several")
     work.drop("prefix", "owners", "blocks", "sizes")
 
-    wanted = work.save(blocks.select("cid").distinct().join(classes.select("cid", "row", "digest"), "cid").select("cid", "row", "digest"), "wanted")
-    few = wanted.count() <= 300_000
-    texts = read.join(F.broadcast(wanted) if few else wanted.hint("merge"), "row").select("cid", "digest", "text")
-    sets = work.save(texts.mapInArrow(_whole_sets, "cid long, hashes binary").dropDuplicates(["cid"]), "sets")
+    wanted = blocks.select("cid").distinct().join(classes.select("cid", "first"), "cid").select("cid", F.col("first")[FILE].alias(FILE), F.col("first")[AT].alias(AT))
+    lookup = Lookup(wanted, work, "wanted")
+    sets = work.save(read.select(FILE, AT, "text").mapInArrow(_whole_sets(lookup), "cid long, hashes binary"), "sets")
 
     rows1 = blocks.groupBy("cid").agg(F.min("block").alias("block")).select("block", "cid", F.col("cid").alias("label"), F.lit(True).alias("guest"))
     first = _links(rows1, sets, work, "first", block_sets, 1)
@@ -389,24 +394,21 @@ def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int) ->
     second = _links(told.join(mixed, "block"), sets, work, "second", block_sets, 0)
     edges = work.save(labels.select(F.col("cid").alias("u"), F.col("label").alias("v")).unionByName(second), "edges")
     comps = work.save(connected_components(edges, work), "components")
-    named = comps.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    firsts = work.save(named.groupBy("component").agg(F.min("rep").alias("component_id")), "firsts")
-    of_class = comps.join(firsts, "component").select(F.col("node").alias("cid"), "component", "component_id")
-    of_class = classes.select("cid", "digest", "rep").join(of_class, "cid", "left")
-    of_class = work.save(of_class.select("digest", F.coalesce("component", "cid").alias("component"), F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return rows.select("row", "n_shingles", "digest").join(of_class, "digest", "left").select("row", "n_shingles", "component", "component_id")
+    named = comps.join(classes.select(F.col("cid").alias("node"), "first"), "node")
+    firsts = work.save(named.groupBy("component").agg(F.min("first").alias("of_component"), F.count(F.lit(1)).alias("n")), "firsts")
+    of_class = work.save(join_groups(comps, firsts, "component", "n").select(F.col("node").alias("cid"), "of_component"), "of-class")
+    classes = classes.select("cid", "digest", "n_rows", "first").join(of_class, "cid", "left")
+    return rows, work.save(classes.select("digest", "n_rows", F.coalesce("of_component", "first").alias("first")), "named")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows are told apart by id
-    and text, nulls come last, and of rows that repeat the one that stays one stays."""
+    """docs with one row of each component: one with the smallest id, a null one only where all are null.
+    Texts without words stay. Every column as it was; no text is shuffled."""
     work = Scratch(docs.sparkSession, "near")
-    found = work.save(_components(docs, id_col, text_col, BLOCK_SETS).where("component is not null").groupBy("component", "row").agg(F.count(F.lit(1)).alias("n")), "rows")
-    firsts = found.groupBy("component").agg(F.min(F.struct(F.col("row.id").isNull(), "row")).alias("first"))
-    firsts = work.save(firsts.select("component", F.col("first.row").alias("first")), "firsts")
-    keys = found.join(firsts, "component").select(F.col("row").alias(ROW), (~F.col("row").eqNullSafe(F.col("first"))).alias("gone"), "n").where("gone or n > 1").select(ROW, "gone")
-    key = F.struct(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col)["sha"].alias("sha"))
-    return keep_rows(docs, key, work.save(keys, "keys"))
+    places = located(docs, work)
+    rows, classes = _components(places, id_col, text_col, BLOCK_SETS, work)
+    found = join_groups(rows.where("digest is not null").select("digest", FILE, AT), classes, "digest", "n_rows")
+    return without(places, found.where((F.col(FILE) != F.col("first")[FILE]) | (F.col(AT) != F.col("first")[AT])), work)
 
 
 # The components by brute force in SQL; for small tables only.

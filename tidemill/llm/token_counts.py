@@ -1,9 +1,9 @@
 """Token counts behind a digest cache.
 
 A cache table holds (content digest, tokenizer digest, token count). Documents are reduced to
-digests; only contents that the cache lacks are encoded, each once, and appended; the counts then
-come from the cache by a join. Texts aren't shuffled: the scan that encodes drops, by a small
-broadcast or else by a shuffled semi join, the rows that needn't be encoded.
+digests; of each content that the cache lacks one row is encoded and appended, and the counts then come
+from the cache by a join. Texts aren't shuffled: the scan that encodes looks up which of its rows to
+encode by their places.
 
 Null text: as empty, 0 tokens. Repeated rows: one encoding, a result row each. Empty table: empty.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import BROADCAST_KEYS, Scratch, text_slices, workers_ready
+from tidemill.llm.base import AT, FILE, Lookup, Scratch, join_groups, located, text_slices, workers_ready
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 _models: dict[str, object] = {}
@@ -48,26 +48,22 @@ def _counter(path: str):
     return _models[path]
 
 
-def _encode(path: str):
+def _encode(path: str, lookup: Lookup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path)
+        count, find = _counter(path), lookup.reader()
         for b in batches:
+            rows, found = find(b)
+            if found is None:
+                continue
             n: list[int] = []
-            for _, _, texts in text_slices(b):
+            for _, _, texts in text_slices(b.take(pa.array(rows))):
                 n += count([t.decode("utf-8", "replace") for t in texts])
-            yield pa.record_batch({"digest": b.column(0), "n_tokens": pa.array(n, pa.int64())})
+            yield pa.record_batch({"digest": found.column("digest").combine_chunks(), "n_tokens": pa.array(n, pa.int64())})
 
     return run
 
 
-def _not_owners(keyed: DataFrame, owners: DataFrame) -> DataFrame:
-    """digest, owner of the rows that needn't be encoded."""
-    k, o = keyed.alias("k"), owners.alias("o")
-    rest = k.join(o, F.col("k.digest").eqNullSafe(F.col("o.digest")) & F.col("k.doc_id").eqNullSafe(F.col("o.owner")), "left_anti")
-    return rest.select("digest", F.col("doc_id").alias("owner"))
-
-
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_KEYS) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, cached (the count was there before this call).
 
     cache_path: a folder all executors reach; made at first use, appended to afterwards.
@@ -75,27 +71,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     spark = docs.sparkSession
     workers_ready(spark)
     work, version = Scratch(spark, "counts"), tokenizer_digest(tokenizer_path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    content = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
-    keyed = work.save(content.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "keyed")
+    content = located(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), work)
+    keyed = work.save(content.select("doc_id", FILE, AT, F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "keyed")
 
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     before = work.save(spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "before")
-    # one owner of each missing content; ids may be null or repeated, so the digest belongs to the key
-    owners = work.save(keyed.groupBy("digest").agg(F.min("doc_id").alias("owner")).join(before, "digest", "left_anti"), "owners")
-    n_owners = owners.count()
-    n_others = keyed.count() - n_owners
-    if n_owners:
-        same = content["digest"].eqNullSafe(F.col("o.digest")) & content["doc_id"].eqNullSafe(F.col("o.owner"))
-        if min(n_owners, n_others) > most:
-            missing = content.join(owners.alias("o").hint("merge"), same, "left_semi")
-        elif n_owners <= n_others:
-            missing = content.join(F.broadcast(owners.alias("o")), same, "left_semi")
-        else:  # those that needn't be encoded are fewer
-            others = _not_owners(keyed, owners)
-            missing = content.join(F.broadcast(others.alias("o")), same, "left_anti")
-        counted = missing.select("digest", "text").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
+    groups = work.save(keyed.groupBy("digest").agg(F.min(F.struct(FILE, AT)).alias("first"), F.count(F.lit(1)).alias("n")), "groups")
+    lookup = Lookup(groups.join(before, "digest", "left_anti").select(F.col("first")[FILE].alias(FILE), F.col("first")[AT].alias(AT), "digest"), work, "missing")
+    if lookup.files:
+        counted = content.select(FILE, AT, "text").mapInArrow(_encode(tokenizer_path, lookup), "digest binary, n_tokens long")
         counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    counts = work.save(cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).join(before.select("digest", F.lit(True).alias("cached")), "digest", "left"), "counts")
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.coalesce("cached", F.lit(False)).alias("cached"))
+    counts = groups.select("digest", "n").join(cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest")
+    counts = work.save(counts.join(before.select("digest", F.lit(True).alias("cached")), "digest", "left"), "counts")
+    found = join_groups(keyed.select("doc_id", "digest", "n_bytes"), counts, "digest", "n")
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.coalesce("cached", F.lit(False)).alias("cached"))
