@@ -5,10 +5,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.llm import decontam, exact_dedup, langid, ngram_join, packing
-from tidemill.llm.base import ROW, Scratch, keep_rows, row_key
+from tidemill.llm.base import Scratch
 from tidemill.llm.queries import table
 
 
@@ -18,16 +17,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays (one with a null doc_id only where all are
-    null), and one of rows that repeat it. Rows are told apart by doc_id and text, not by doc_id alone."""
-    found = exact_dedup.exact_duplicates(docs.select(row_key("doc_id").alias(ROW), "text"), ROW)
-    keys = found.groupBy(F.col("doc_id").alias(ROW)).agg((~F.bool_or("kept")).alias("gone"), F.count(F.lit(1)).alias("n")).where("gone or n > 1").select(ROW, "gone")
-    return keep_rows(docs, row_key("doc_id"), Scratch(spark, "pipeline").save(keys, "keys"))
+    """Of equal texts one row stays, with the largest doc_id (a null one only where all are null). Rows are
+    told apart by their places in the files, so ids may be null or repeat."""
+    return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join stays, that with the smallest doc_id (one with a
-    null doc_id only where all are null), and one of rows that repeat it. Texts without words stay."""
+    """One row of each component of the Jaccard join stays, with the smallest doc_id (a null one only where
+    all are null). Texts without words stay."""
     return ngram_join.keep_one_each(docs)
 
 
