@@ -78,13 +78,20 @@ def test_token_counts(spark, tmp_path):
     assert not any(r.cached for r in other.collect())
 
 
-@pytest.mark.parametrize("most", [0, 4])
-def test_token_counts_without_broadcast(spark, tmp_path, most):
-    rows = [(1, "a b"), (1, "c"), (None, "d"), (2, "a b"), (None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = token_counts.count_tokens(df, PIECES, f"file://{tmp_path}/c{most}", most=most).collect()
-    assert len(got) == 5 and all(r.n_tokens >= 0 for r in got)
-    assert token_counts.count_tokens(df.limit(0), PIECES, f"file://{tmp_path}/e{most}").count() == 0
+def test_each_content_is_encoded_once(spark, tmp_path):
+    """Also where ids repeat or are null; counted by the rows that are appended to the cache."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(1, "a b"), (1, "c"), (None, "d"), (2, "a b"), (None, None), *[(7, "the same")] * 50, *[(None, "none")] * 50]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cache = f"file://{tmp_path}/c"
+    got = token_counts.count_tokens(df, PIECES, cache).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_bytes) for r in got) == sorted((i or 0, len(m.encode(t or "")), len(t or "")) for i, t in rows)
+    assert spark.read.parquet(cache).count() == 6
+    df.write.parquet(f"file://{tmp_path}/t")
+    assert token_counts.count_tokens(spark.read.parquet(f"file://{tmp_path}/t").where("doc_id = 7"), PIECES, cache).where("cached").count() == 50
+    assert token_counts.count_tokens(df.limit(0), PIECES, f"file://{tmp_path}/e").count() == 0
 
 
 def test_tournament_tree_is_first_fit():
@@ -133,6 +140,15 @@ def test_packing(spark, plain):
     assert packing.pack(docs(spark).limit(0), BPE).count() == 0
     ties = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string")
     assert packing.pack(ties, BPE).count() == 3
+    many = spark.createDataFrame([(None, "the same text of a few words")] * 2000 + [(None, "word " * 9000)], "doc_id long, text string").repartition(3)
+    rows = packing.pack(many, BPE, group_docs=100).collect()  # a repeated row fills no group by itself
+    parts = {}
+    for r in rows:
+        if r.sequence_id >= 0:
+            parts[r.sequence_id >> 32] = parts.get(r.sequence_id >> 32, 0) + 1
+        else:
+            assert (r.length, r.offset) == (4096, 0)
+    assert max(parts.values()) < 200 and len(parts) > 15 and len(rows) == 2003 and len({r.sequence_id for r in rows if r.sequence_id < 0}) == 2
 
 
 @settings(max_examples=80, deadline=None)
@@ -152,12 +168,9 @@ def test_outliers_go_to_the_exception_list():
 def test_token_files(spark, plain, tmp_path):
     shuffled = docs(spark).repartition(3)
     folder = f"file://{tmp_path}/files"
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        manifest = token_files.write_token_files(shuffled, BPE, folder, file_ids=200)
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    manifest = token_files.write_token_files(shuffled, BPE, folder, file_ids=200)
     assert manifest.count() > 2
+    assert token_files.read_token_files(manifest, folder).rdd.getNumPartitions() == manifest.count()  # no task reads all files
     rows = sorted(token_files.read_token_files(manifest, folder).collect(), key=lambda r: r.doc_id)
     at = 0
     for r in rows:

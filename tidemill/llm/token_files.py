@@ -10,14 +10,17 @@ holds each block's start.
     per block: u32 minimum, u8 width, u16 exceptions, u64 start of its bytes
     blocks: packed differences, then exceptions as u8 positions and u16 or u32 high bits
 
-Documents are range-partitioned by doc_id, so the concatenation of the files in the manifest's order
-is in ascending order; rows that repeat a doc_id follow by text, null ids come first. A null or empty text is
-the end id alone. A task that runs twice writes files under another name; only those that the
+Texts are encoded where they are scanned, and only ids travel, at the vocabulary's width. Documents are
+range-partitioned by doc_id, so the concatenation of the files in the manifest's order is in ascending
+order; rows that repeat a doc_id follow by their places in the table, null ids come first. A null or empty
+text is the end id alone. A task that runs twice writes files under another name; only those that the
 manifest lists are read. Empty table: empty manifest.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,16 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import Scratch, text_slices, workers_ready
+from tidemill.llm.base import AT, FILE, Scratch, located, text_slices, workers_ready
 
 MAGIC, VERSION, BLOCK = b"TMPF", 1, 256
 #: Percentiles of a block's bit lengths from which its width is chosen.
 SHARES = (0.5, 0.75, 0.9, 0.95, 0.98, 1.0)
 FILE_IDS = 4_000_000
 END_ID = 2
+#: Files that a task reads back where there are many.
+FILES_READ = 16
 MANIFEST = "part int, number int, path string, n_docs long, n_ids long"
 
 
@@ -145,33 +150,54 @@ def parse_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(numbers, known, strict=True)], ends.astype(np.int64), ids
 
 
-def _writer(tokenizer: str, folder: str, end_id: int, file_ids: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+def _order(column) -> Column:
+    """The order of documents as a struct: null ids first."""
+    return F.struct(column("doc_id").isNotNull().alias("known"), F.coalesce(column("doc_id"), F.lit(0)).alias("id"), column(FILE), column(AT))
+
 
+def _encoder(tokenizer: str, end_id: int, lasts: list[tuple]):
+    """lasts: the last place in the order of every partition but the last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tidemill.llm.word_bpe import coder
 
+        code = coder(tokenizer)
+        kind = "<u2" if max(code.coder.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+        for b in batches:
+            for lo, hi, texts in text_slices(b):
+                ids, bounds = code.encode(texts, end_id)
+                data, size = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+                packed = [data[size * x : size * y] for x, y in itertools.pairwise(bounds.tolist())]
+                own = {c: b.column(b.schema.get_field_index(c)).slice(lo, hi - lo) for c in ("doc_id", FILE, AT)}
+                part = [bisect.bisect_left(lasts, (d is not None, d or 0, f, a)) for d, f, a in zip(*(x.to_pylist() for x in own.values()), strict=True)]
+                yield pa.record_batch({"part": pa.array(part, pa.int32()), **own, "width": pa.array([size] * (hi - lo), pa.int32()), "ids": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _writer(folder: str, file_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        task, code = TaskContext.get(), coder(tokenizer)
-        held: list[np.ndarray] = []
+        task = TaskContext.get()
+        held: list[bytes] = []
         docs: list[int | None] = []
         ends: list[int] = []
-        number = 0
+        number = width = 0
 
         def flush() -> pa.RecordBatch:
             path = f"{base}/part-{task.partitionId():06d}-{number:05d}-{task.taskAttemptId()}.tmpf"
             with store.open_output_stream(path) as f:
-                f.write(file_bytes(docs, np.array(ends), np.concatenate(held)))
+                f.write(file_bytes(docs, np.array(ends), np.frombuffer(b"".join(held), f"<u{width}")))
             return pa.record_batch({"part": pa.array([task.partitionId()], pa.int32()), "number": pa.array([number], pa.int32()), "path": [path.removeprefix(base + "/")], "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([ends[-1]], pa.int64())})
 
         for b in batches:
-            own = b.column(0).to_pylist()
-            for lo, hi, texts in text_slices(b):
-                ids, bounds = code.encode(texts, end_id)
+            for doc, width, ids in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "width", "ids")), strict=True):
                 held.append(ids)
-                ends += (bounds[1:] + (ends[-1] if ends else 0)).tolist()
-                docs += own[lo:hi]
+                ends.append(len(ids) // width + (ends[-1] if ends else 0))
+                docs.append(doc)
                 if ends[-1] >= file_ids:
                     yield flush()
                     number += 1
@@ -187,9 +213,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     (part, number, path, n_docs, n_ids, base) as Parquet beside them; returns the manifest."""
     spark = docs.sparkSession
     workers_ready(spark)
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_writer(tokenizer_path, f"{folder}/data", end_id, file_ids), MANIFEST).write.mode("overwrite").parquet(f"{folder}/written")
+    work = Scratch(spark, "encoded")
+    read = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), work).select("doc_id", FILE, AT, "text")
+    parts, order = int(spark.conf.get("spark.sql.shuffle.partitions")), ["doc_id", FILE, AT]
+    # the bounds come from the ids alone, so that no text is encoded twice to sample them; a row for each partition
+    dealt = read.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("part")).agg(F.max(_order(F.col)).alias("last")).orderBy("part").collect()
+    lasts = [tuple(r["last"]) for r in dealt][:-1]
+    encoded = read.mapInArrow(_encoder(tokenizer_path, end_id, lasts), f"part int, doc_id long, {FILE} long, {AT} long, width int, ids binary")
+    ordered = encoded.repartitionById(max(1, len(dealt)), F.col("part")).sortWithinPartitions(*order).select("doc_id", "width", "ids")
+    ordered.mapInArrow(_writer(f"{folder}/data", file_ids), MANIFEST).write.mode("overwrite").parquet(f"{folder}/written")
     written = spark.read.schema(MANIFEST).parquet(f"{folder}/written")
     # one row for each partition of the shuffle, not of the data
     bases, total = [], 0
@@ -220,8 +252,12 @@ def _reader(folder: str):
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
-    workers_ready(manifest.sparkSession)
-    files = manifest.select("path", "base", F.xxhash64("path").alias("k")).repartition("k").select("path", "base")
+    spark = manifest.sparkSession
+    workers_ready(spark)
+    n = manifest.count()
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, n // FILES_READ)))
+    # a stated number of tasks: by the manifest's few bytes all files would be read by one
+    files = manifest.select("path", "base").repartition(tasks)
     return files.mapInArrow(_reader(f"{folder}/data"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -2,9 +2,10 @@
 line feeds, and each distinct word is encoded once a worker. Spaces are starters of canonical
 composition and lower-casing goes by code point, so the ids are those of the whole text.
 
-Words of Latin-1 letters, ASCII digits and punctuation take a short way where the file has the steps that are
-known here: canonical composition leaves them as they are, so lower-casing and one regular expression
-give the pieces that the library's model then merges. All other words go through the whole tokenizer.
+Texts of Latin-1 letters, ASCII digits, punctuation, spaces and line feeds take a short way where the file
+has the steps that are known here: canonical composition leaves them as they are, so lower-casing and one
+regular expression give the pieces that the library's model then merges, and pieces stand for words. So
+do such words of other texts. All other words go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from tidemill.llm.base import WordTable, _Numbered
 
 MARK = "\x01"
-WORDS_HELD = 500_000
+WORDS_HELD = 700_000
 # The steps before the model for which the short way holds.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -27,7 +28,7 @@ BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "
 #: Printable ASCII and Latin-1 without spaces, controls and numbers other than ASCII digits.
 SHORT = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0xB2), *range(0xB4, 0xB9), 0xBA, 0xBB, *range(0xBF, 0x100)]))
 _LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 
 
 def byte_characters() -> list[str]:
@@ -59,7 +60,9 @@ class WordCoder(WordTable):
         short = (made.get("normalizer") or {}).get("normalizers") == NORMALIZERS and before.get("pretokenizers") == known and not made.get("post_processor")
         self.merge = self.coder.model.tokenize if short else None
         first = {t["content"][:1] for t in made.get("added_tokens", ())}  # words that may hold a special token go the long way
-        self.short = re.compile(f"[{re.escape(''.join(c for c in SHORT if c not in first))}]*").fullmatch
+        plain = re.escape("".join(c for c in SHORT if c not in first))
+        self.short = re.compile(f"[{plain}]*").fullmatch
+        self.short_text = re.compile(f"[{plain} \n]*").fullmatch if short else lambda text: None
         mark = self._plain(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.clear()
@@ -79,7 +82,9 @@ class WordCoder(WordTable):
         out: list[list[int] | np.ndarray] = [()] * len(words)
         rest, merge, short, cut = [], self.merge, self.short, PIECES.findall
         for i, w in enumerate(words):
-            if not short(w):
+            if w.isalpha() and w.isascii() and w.islower():  # one piece
+                out[i] = [t.id for t in merge(w)]
+            elif not short(w):
                 rest.append(i)
             elif w.isascii():
                 out[i] = [t.id for p in cut(w.lower()) for t in merge(p)]
@@ -123,15 +128,16 @@ class WordCoder(WordTable):
         self._used()
         if len(self.index) > self.most:
             self.clear()
-        parts = [t.decode("utf-8", "replace").replace("\n", " ").split(" ") for t in texts]
-        ends = np.cumsum([len(p) for p in parts])  # each text has one word at least, perhaps an empty one
+        whole = [t.decode("utf-8", "replace") for t in texts]
+        parts = [PIECES.findall(t.lower()) if self.short_text(t) else t.replace("\n", " ").split(" ") for t in whole]
+        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
         ids = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(ends[-1]) if len(ends) else 0)
         if self.index.fresh:
             self._learn()
         counts = self.length[ids]
-        first = np.cumsum(counts) - counts
-        flat = self.flat[np.repeat(self.start[ids] - first, counts) + np.arange(counts.sum())]
-        bounds = np.cumsum(counts)[ends - 1] if len(ends) else np.zeros(0, np.int64)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        flat = self.flat[np.repeat(self.start[ids] - upto[:-1], counts) + np.arange(upto[-1])]
+        bounds = upto[ends]
         return np.insert(flat, bounds, end_id), np.concatenate([[0], bounds + np.arange(1, len(bounds) + 1)])
 
 
