@@ -1,11 +1,12 @@
 """Packing of documents into sequences of at most 4096 tokens.
 
-A scan tokenises; from there on only lengths travel. Pieces of a full sequence stand alone; what is
-left of each document goes to a group by a hash of its id, and each group is packed by first-fit
-decreasing, the first bin with room found in a tournament tree of the bins' room.
+A scan tokenises; from there on only lengths travel. Pieces of a full sequence stand alone and aren't
+shuffled (their sequences have negative numbers); what is left of each document goes to a group by a hash
+of its place in the table, so that no id or text makes a group large, and each group is packed by
+first-fit decreasing, the first bin with room found in a tournament tree of the bins' room.
 
-A null or empty text is the end id alone. Repeated rows are packed as separate documents; rows
-with the same id share a group. Empty table: empty.
+A null or empty text is the end id alone. Repeated rows are packed as separate documents; ids may be
+null or repeat. Empty table: empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import text_slices, workers_ready
+from tidemill.llm.base import AT, FILE, Scratch, located, text_slices, workers_ready
 
 ROOM, END_ID = 4096, 2
 #: Documents of a group, about.
@@ -83,14 +84,15 @@ def _pieces(path: str, room: int, end_id: int):
                         length.append(e - s)
                         crc.append(zlib.crc32(data[4 * s : 4 * e]))
                         total.append(z - a)
-            yield pa.record_batch({"doc_id": b.column(0).take(pa.array(row, pa.int64())), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total, pa.int64())})
+            at = pa.array(row, pa.int64())
+            yield pa.record_batch({**{c: b.column(b.schema.get_field_index(c)).take(at) for c in ("doc_id", FILE, AT)}, "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total, pa.int64())})
 
     return run
 
 
 def _pack(room: int):
     def packed(rows: pa.Table) -> pa.RecordBatch:
-        order = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        order = rows.sort_by([("length", "descending"), (FILE, "ascending"), (AT, "ascending")])
         lengths = order.column("length").to_pylist()
         bins = first_fit_decreasing(lengths, room)
         used, offsets = {}, []
@@ -98,7 +100,7 @@ def _pack(room: int):
             offsets.append(used.get(bin_, 0))
             used[bin_] = offsets[-1] + n
         group = order.column("part")[0].as_py()
-        out = order.drop_columns(["part"]).append_column("sequence_id", pa.array([(group << 32) | x for x in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        out = order.drop_columns(["part", FILE, AT]).append_column("sequence_id", pa.array([(group << 32) | x for x in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
         return out.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +124,15 @@ def _pack(room: int):
 
 def pack(docs: DataFrame, tokenizer_path: str, room: int = ROOM, end_id: int = END_ID, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
-    workers_ready(docs.sparkSession)
-    groups = max(1, -(-docs.count() // group_docs))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = dict(read.dtypes)["doc_id"]
-    columns = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = read.mapInArrow(_pieces(tokenizer_path, room, end_id), columns).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(groups)))
-    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(_pack(room), f"{columns}, sequence_id long, offset long")
+    spark = docs.sparkSession
+    workers_ready(spark)
+    work = Scratch(spark, "packing")
+    read = located(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), work).select("doc_id", FILE, AT, "text")
+    id_type, numbers = dict(read.dtypes)["doc_id"], "start long, length long, ids_crc32 long, doc_tokens long"
+    columns = f"doc_id {id_type}, {numbers}"
+    pieces = work.save(read.mapInArrow(_pieces(tokenizer_path, room, end_id), f"doc_id {id_type}, {FILE} long, {AT} long, {numbers}"), "pieces")
+    full, rest = F.col("length") == room, pieces.where(F.col("length") < room)
+    groups = max(1, -(-rest.count() // group_docs))
+    packed = rest.withColumn("part", F.pmod(F.xxhash64(FILE, AT), F.lit(groups))).repartition("part").sortWithinPartitions("part").mapInArrow(_pack(room), f"{columns}, sequence_id long, offset long")
+    alone = pieces.where(full).drop(FILE, AT).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)
