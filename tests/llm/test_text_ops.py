@@ -186,55 +186,136 @@ def test_toxicity_learns_languages_of_all_ids(spark, monkeypatch):
 ITEMS = ["A train leaves Paris at 9 and travels 120 km in 3 hours. How far does Anna get in 5 hours?", "short item of words here", "one two", None]
 
 
-def found(spark, texts, items=ITEMS):
+def found(spark, texts, items=ITEMS, **more):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    return {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
+    return {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench, **more).collect()}
+
+
+FILLER = " ".join(f"filler{i}" for i in range(50))
 
 
 def test_templates(spark):
-    filler = " ".join(f"filler{i}" for i in range(50))
-    same = f"{filler} {ITEMS[0]} {filler}"
-    other = f"{filler} a TRAIN leaves Rome at 7 and travels 250 km in 4 hours!! how far does Berta get in 9 hours? {filler}"
-    broken = f"{filler}. A train leaves Rome at 7 and travels 250 km in 4 hours. How far does Berta get in 4 hours? {filler}"
-    half = f"{filler} train leaves Paris at 9 and {filler}"
-    got = found(spark, [same, other, half, filler, None, "", f"x short item of words here y", "one two", same, broken])
+    same = f"{FILLER} {ITEMS[0]} {FILLER}"
+    other = f"{FILLER} a TRAIN leaves Rome at 7 and travels 250 km in 4 hours!! how far does Berta get in 9 hours? {FILLER}"
+    broken = f"{FILLER}. A train leaves Rome at 7 and travels 250 km in 4 hours. How far does Berta get in 4 hours? {FILLER}"
+    half = f"{FILLER} train leaves Paris at 9 and {FILLER}"
+    got = found(spark, [same, other, half, FILLER, None, "", f"x short item of words here y", "one two", same, broken])
     assert {k for k in got if k[1] == 0} >= {(0, 0), (1, 0), (8, 0)} and (2, 0) not in got and (6, 1) in got
     assert not got[(0, 0)].slots_changed and got[(1, 0)].slots_changed
     assert not any(d in (3, 4, 5, 7) for d, _ in got)
 
 
-def test_items_with_few_literal_words():
+def test_names_that_open_a_sentence(spark):
+    item = "Anna buys 3 kg of fresh flour. Then Anna sells 2 kg of it to her old friend Ben."
+    other = "Peter buys 7 kg of fresh flour. Then Peter sells 5 kg of it to her old friend Max."
+    mixed = "Peter buys 7 kg of fresh flour. Then Paul sells 5 kg of it to her old friend Max."
+    got = found(spark, [f"{FILLER}. {other}", f"they say {other}", item, mixed.replace("Max", "Tom"), "Anna buys apples"], [item, "Anna buys 3 kg of fresh flour"])
+    assert {(0, 0), (1, 0), (2, 0), (0, 1), (1, 1), (2, 1), (3, 1)} <= set(got) and not any(d == 4 for d, _ in got)
+    assert got[0, 0].slots_changed and not got[2, 0].slots_changed and got[0, 0].n_matched == got[0, 0].n_windows
+    if (3, 0) in got:  # Anna can't be Peter and Paul: the windows with one of both don't count
+        assert got[3, 0].n_matched < got[3, 0].n_windows
+
+
+def test_items_with_few_literal_words(spark):
     """A copy is found by literal words and slot values together; one with other values isn't."""
     items = ["Compute 3/4 + 5/6 of 20 kg.", "1 2 3 4 5 6 7 8 9 10 11 12", "one two", "", "Compute 3/4 + 5/6 of 20 kg"]
-    index = decontam.build_index(list(range(len(items))), [x.encode() for x in items])
-    filler = " ".join(f"filler{i}" for i in range(20))
-    texts = [f"{filler} compute 3/4 + 5/6 of 20 KG! {filler} {items[0]}", items[0], "compute 3/4 + 5/6 of 30 kg", "compute 3/4 + 5/6", "of 20 kg", f"{filler} 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12 {filler}", "1 2 3 4 5 6 7 8 9 10 11 13", "one two", ""]
-    got = [m[:2] for m in decontam.matches(index, [t.encode() for t in texts])]
-    assert sorted(got) == [(0, 0), (0, 4), (1, 0), (1, 4), (5, 1)]
+    texts = [f"{FILLER} compute 3/4 + 5/6 of 20 KG! {FILLER} {items[0]}", items[0], "compute 3/4 + 5/6 of 30 kg", "compute 3/4 + 5/6", "of 20 kg", f"{FILLER} 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12 {FILLER}", "1 2 3 4 5 6 7 8 9 10 11 13", "one two", ""]
+    got = found(spark, texts, items)
+    assert {k for k in got if k != (6, 1)} == {(0, 0), (0, 4), (1, 0), (1, 4), (5, 1)}
+    assert got[(5, 1)].n_matched == 5 and got.get((6, 1), got[(5, 1)]).n_matched in (4, 5)
 
 
-def test_inconsistent_slots():
-    item = "if 3 apples cost 3 coins then 3 more apples will cost 3 further coins today".encode()
-    index = decontam.build_index([0], [item])
+def test_inconsistent_slots(spark):
+    item = "if 3 apples cost 3 coins then 3 more apples will cost 3 further coins today"
     swap = lambda *n: "if %s apples cost %s coins then %s more apples will cost %s further coins today" % n
-    assert decontam.matches(index, [swap(5, 5, 5, 5).encode()])[0][4]
-    assert not decontam.matches(index, [swap(1, 2, 4, 8).encode()])  # one value of the item would mean four
-
-
-def test_blocks_of_items(spark):
+    got = found(spark, [swap(5, 5, 5, 5), swap(1, 2, 4, 8)], [item])
+    assert set(got) == {(0, 0)} and got[0, 0].slots_changed  # one value of the item would mean four
+
+
+def brute_force(texts, items):
+    """All items against all documents, one pair at a time: windows as tuples of readable words."""
+
+    def words(text):
+        out, opens, number = [], True, False
+        for w in (text or "").split():
+            bare = w.strip(decontam.TRIM)
+            if bare:
+                low = bare.lower()
+                kind = "num" if decontam.NUMBER.fullmatch(bare) else "unit" if low in decontam.UNITS and number else "name" if low not in decontam.UNITS and bare[0].isupper() and bare[1:].islower() else None
+                out.append((low, kind, opens and kind == "name"))
+                number, opens = kind == "num", w[-1] in ".!?:|"
+            elif any(c in ".!?" for c in w):
+                opens = True
+        return out
+
+    def readings(ws):
+        word = [(f"<{k}>", v) if k and not o else (v, None) for v, k, o in ws]
+        name = [(f"<{k}>", v) if k else (v, None) for v, k, o in ws]
+        plain = lambda r: sum(v is None for _, v in r)
+        out = [word] if plain(word) >= 4 else [[(v, None) for v, _, _ in ws] + [("by value", None)]]
+        if 4 <= plain(name) < plain(word):
+            out.append(name)
+        return out
+
+    found = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            theirs, ours = words(item), words(text)
+            if len(theirs) < 4:
+                continue
+            size = min(8, len(theirs))
+            pairs = []
+            for q in range(len(theirs) - size + 1):
+                for a in readings(theirs[q : q + size]):
+                    for p in range(len(ours) - size + 1):
+                        for b in readings(ours[p : p + size]):
+                            if [k for k, _ in a] == [k for k, _ in b]:
+                                pairs.append((q, [(x, y) for (_, x), (_, y) in zip(a, b, strict=True) if x is not None]))
+            n = len(theirs) - size + 1
+            votes = {}
+            for _, slots in pairs:
+                for x, y in slots:
+                    votes.setdefault(x, {}).setdefault(y, 0)
+                    votes[x][y] += 1
+            tied = any(sorted(v.values())[-2:] == [max(v.values())] * 2 for v in votes.values() if len(v) > 1)
+            means = {x: max(v, key=v.get) for x, v in votes.items()}
+            agree = len({q for q, slots in pairs if all(means[x] == y for x, y in slots)})
+            if tied or agree >= 0.5 * n:
+                found[d, i] = None if tied else (agree, n, any(x != y for x, y in means.items()))
+    return found
+
+
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_contamination_equals_brute_force(spark, most):
+    rng = np.random.default_rng(4)
+    names, plain = ["Anna", "Ben", "Carl", "Dora", "Emil"], [f"w{'abcdefghij'[k]}" for k in range(10)]
+    shapes = [[("w", k) if rng.random() < 0.6 else ("n" if rng.random() < 0.5 else "#", int(rng.integers(3))) for k in rng.integers(0, 10, rng.integers(3, 24))] for _ in range(12)]
+
+    def say(shape):
+        who, what = rng.permutation(names), rng.permutation([3, 7, 12, 40])
+        out = [plain[k] if kind == "w" else who[k] if kind == "n" else f"{what[k]}" for kind, k in shape]
+        return " ".join(w + ("." if rng.random() < 0.15 else "") + (" kg" if w.isdigit() and rng.random() < 0.3 else "") for w in out)
+
+    items = [say(shapes[k % 12]) for k in range(30)] + [None, ""]
+    texts = [" ".join([say(shapes[int(rng.integers(12))]), say(shapes[int(rng.integers(12))])]) for _ in range(40)] + items[:5] + [None, ""]
+    got, want = found(spark, texts, items, most=most), brute_force(texts, items)
+    sure = {k for k, v in want.items() if v}
+    assert len(sure) > 40 and sure <= set(got) <= set(want)
+    for k in sure:
+        assert (got[k].n_matched, got[k].n_windows, got[k].slots_changed) == want[k]
+
+
+def test_large_benchmark(spark):
+    """More items than fit the filter well, in one scan: what is found stays the same."""
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     key = lambda df: sorted((r.doc_id, r.item_id, r.n_matched) for r in df.collect())
     whole = key(decontam.contaminated(docs, bench))
-    orig = decontam.BLOCK_ITEMS
-    try:
-        decontam.index_blocks.__defaults__ = ("item_id", "text", 7)
-        assert key(decontam.contaminated(docs, bench)) == whole
-        gone = {d for d, _, _ in whole}
-        kept = decontam.drop_contaminated(docs, bench)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - gone
-    finally:
-        decontam.index_blocks.__defaults__ = ("item_id", "text", orig)
+    more = spark.range(8000).selectExpr("id + 1000 AS item_id", "concat_ws(' ', transform(sequence(1, 20), k -> concat('x', hash(id, k)))) AS text")
+    assert key(decontam.contaminated(docs, bench.select("item_id", "text").unionByName(more))) == whole
+    gone = {d for d, _, _ in whole}
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - gone
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
