@@ -1,13 +1,16 @@
-"""Main text of web pages, by tag where a page names its article, else by line-block distribution.
+"""Main text of web pages by line-block distribution.
 
 Markup is stripped to one line for each block element. A line's weight is the length of its text
-outside links; text of menus, forms, adverts, scripts and the like weighs nothing, and where a page
-names its article (article, main), what lies outside weighs nothing either, links inside count in full,
-and every line with weight is kept: the sums decide nothing there. On the other pages weights are
-summed over sliding windows of lines; where a sum is zero the page is parted. The text runs from the
-first part that surges to the last one that does, and all lines with weight between these points are
-kept: of text with weight only parts before the first and after the last surge go, and these are
-shorter than SURGE and than half the page's longest part.
+outside links; text of menus, forms, adverts, scripts and the like weighs nothing. Weights are summed over
+sliding windows of lines; where a window is silent the page is parted, and an article is a part. The
+text runs from the first part that surges to the last one after which the page dives, by the page's own
+figures: a run of lines surges with SURGE characters or half of the longest part, an article with a quarter of
+it. Markup only weighs: where a page names its article (article, main), text outside counts a quarter, and
+surges only with half of the longest part then; links inside count in full. So a short article beside
+a long text doesn't win, and cards, teasers and comments in articles of their own don't either. Between the
+two points every line with weight is kept, but for text outside of a named article. At the
+edges of text that no article holds, lines of mere boxes that are far below the page's peak go if they
+are no sentence, or a copyright line.
 
 Null or empty html: empty text. Repeated rows: a result row each. Empty table: empty. Broken markup
 (unclosed tags, a cut end) never fails; an unclosed menu ends where the article begins.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.base import text_slices, workers_ready
 
 WINDOW = 3
-#: Characters with which a part of a page that names no article surges; on pages of shorter parts, half the longest one's.
+#: Characters with which a run of lines surges; on pages of shorter parts, half the longest one's.
 SURGE = 120
+ARTICLE, RUN, OUTSIDE = "article", "run", "outside"
 # Element names.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol option optgroup p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 SILENT = frozenset("nav footer aside form noscript button select textarea template iframe svg menu dialog object canvas audio video head datalist".split())
@@ -35,39 +40,59 @@ RAW = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words in class, id or role that mark what isn't the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices banner alert popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe signup login search widget pagination pager skip toolbar complementary contentinfo".split())
-# First words of class names that tell of a wrapper's layout, not of its own role.
-WRAPPERS = frozenset("has with without no".split())
+# Words that name a box without telling what is in it.
+BOXES = frozenset("area bar bars block body bottom box button buttons column container content fixed form global group header holder icons inner item items js left link links list main module outer page panel post posts primary region right row secondary section site slot small sticky stories story text thread title top unit wrap wrapper zone".split())
+# Elements whose lines are text of their own, not just boxes.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th caption figcaption summary address".split())
+TITLE = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*(?:title|heading|headline)", re.I)
+RIGHTS = re.compile(r"©|\(c\)|^copyright\b|all rights reserved", re.I)
+SENTENCE_ENDS = ".!?…:;\"'”’»)"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*?)(/?)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-PARTS = re.compile(r"[A-Za-z]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _marked(attributes: str) -> bool:
+    """Whether a class, an id or the role tells of something else than text: by its whole name, or by a
+    compound of nothing but such words and words for boxes ("ad-slot", but not "side-effects")."""
     if "=" not in attributes:
         return False
     for m in ATTRIBUTE.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        for name in value.lower().split():
-            parts = PARTS.findall(name)
-            if parts and parts[0] not in WRAPPERS and any(x in MARKS for x in parts):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [x.lower() for x in PARTS.findall(name)]
+            if name.lower() in MARKS or (any(x in MARKS for x in parts) and all(x in MARKS or x in BOXES for x in parts)):
                 return True
     return False
 
 
-def lines(page: str, roles: bool = True) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, weight, inside an article) of each block, and whether the page names an article. roles:
-    heed class names, ids and roles."""
-    out: list[tuple[str, int, bool]] = []
+@dataclass
+class Line:
+    """A block's text, its weight, the article and the main element around it (0: none), and whether its
+    element is one for text (a paragraph, a heading, a list item) and not just a box."""
+
+    text: str
+    weight: int
+    article: int
+    main: int
+    prose: bool
+
+
+def lines(page: str, roles: bool = True) -> list[Line]:
+    """The page's blocks. roles: heed class names, ids and roles."""
+    out: list[Line] = []
     parts: list[str] = []
-    linked = depth = inside = 0
+    linked = depth = 0
     silent = ""  # the element whose text counts for nothing, and how deep it is nested in its like
-    link = article_seen = False
+    link = prose = False
+    depths, numbers = {"article": 0, "main": 0}, {"article": 0, "main": 0}
+    inside = lambda: depths["article"] or depths["main"]
 
     def close() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, 0 if silent else max(0, len(text) - linked), inside > 0))
+            now = [numbers[x] if depths[x] else 0 for x in ("article", "main")]
+            out.append(Line(text, 0 if silent else max(0, len(text) - linked), *now, prose))
         parts.clear()
         linked = 0
 
@@ -75,7 +100,7 @@ def lines(page: str, roles: bool = True) -> tuple[list[tuple[str, int, bool]], b
         nonlocal linked
         if text:
             parts.append(text)
-            if link and not inside:
+            if link and not inside():
                 linked += len(text.strip())
 
     at = 0
@@ -101,11 +126,15 @@ def lines(page: str, roles: bool = True) -> tuple[list[tuple[str, int, bool]], b
             link = not ending
         if name in BLOCKS or name in SILENT:
             close()
-        if name in ("article", "main"):
+            if name != "br":
+                prose = not ending and (name in PROSE or (not prose and bool(TITLE.search(attributes))))
+        if name in depths:
             if ending:
-                inside = max(0, inside - 1)
+                depths[name] = max(0, depths[name] - 1)
             else:
-                article_seen, inside, silent = True, inside + 1, silent if inside else ""
+                silent = silent if inside() else ""
+                depths[name] += 1
+                numbers[name] += depths[name] == 1
             continue
         if name in VOID:
             continue
@@ -115,34 +144,64 @@ def lines(page: str, roles: bool = True) -> tuple[list[tuple[str, int, bool]], b
                 if depth == 0:
                     close()
                     silent = ""
-        elif not ending and not m[5] and (name in SILENT or (name == "header" and not inside) or (roles and name not in ("body", "html") and _marked(attributes))):
+        elif not ending and not m[5] and (name in SILENT or (name == "header" and not inside()) or (roles and name not in ("body", "html") and _marked(attributes))):
             close()
             silent, depth = name, 1
     close()
-    return out, article_seen
+    return out
 
 
 def main_text(page: str) -> str:
-    rows, named = lines(page)
-    weight = [w if inside or not named else 0 for _, w, inside in rows]
-    if rows and not any(weight):  # all of it stands in elements whose names tell of something else
-        rows, named = lines(page, roles=False)
-        weight = [w if inside or not named else 0 for _, w, inside in rows]
-    first, end = (0, len(rows)) if named else _surge(weight)
-    return " ".join(text for (text, _, _), w in zip(rows[first:end], weight[first:end], strict=True) if w)
-
-
-def _surge(weight: list[int]) -> tuple[int, int]:
-    """First and end line of the text, by the sums of the windows of lines; all of the page if no window is silent."""
-    parts: list[list[int]] = []  # first line, end line, characters
-    for i, w in enumerate(weight):
-        if w:
-            if not parts or i - parts[-1][1] >= WINDOW:
-                parts.append([i, i, 0])
-            parts[-1][1:] = i + 1, parts[-1][2] + w
-    least = min(SURGE, max((n for *_, n in parts), default=0) / 2)
-    text = [(a, z) for a, z, n in parts if n >= least]
-    return (text[0][0], text[-1][1]) if text else (0, 0)
+    rows = lines(page)
+    if rows and not any(x.weight for x in rows):  # all of it stands in elements whose names tell of something else
+        rows = lines(page, roles=False)
+    return " ".join(x.text for x in text_lines(rows))
+
+
+def text_lines(rows: list[Line]) -> list[Line]:
+    """The lines of the text: between the first and the last part of the page that surge. An article is a
+    part, and so is a run of other lines whose windows are never silent. Markup only weighs: where the page
+    names an article (or a main element with weight), text outside counts a quarter."""
+    articles = any(x.article and x.weight for x in rows)
+    named = articles or any(x.main and x.weight for x in rows)
+    parts: list[list[int]] = []  # kind, number of the article, first line, last line, weight of its text
+    part_of = [0] * len(rows)
+    for i, x in enumerate(rows):
+        if not x.weight:
+            continue
+        kind, number = (ARTICLE, x.article or -x.main) if x.article or (x.main and not articles) else (OUTSIDE if named and not x.main else RUN, 0)
+        last = parts[-1] if parts else None
+        if kind == ARTICLE:
+            k = next((k for k, p in enumerate(parts) if p[:2] == [kind, number]), None)
+        else:
+            k = len(parts) - 1 if last and last[0] == kind and i - last[3] < WINDOW + 1 else None
+        if k is None:
+            parts.append([kind, number, i, i, 0])
+            k = len(parts) - 1
+        parts[k][3] = i
+        parts[k][4] += x.weight
+        part_of[i] = k
+    if not parts:
+        return []
+    mass = [n * (1 if kind == OUTSIDE else 4) for kind, _, _, _, n in parts]
+    longest = max(mass)
+    least = {ARTICLE: longest / 4, RUN: min(4 * SURGE, longest / 2), OUTSIDE: longest / 2}
+    surges = [m >= least[p[0]] for m, p in zip(mass, parts, strict=True)]
+    first = min(p[2] for p, s in zip(parts, surges, strict=True) if s)
+    end = max(p[3] for p, s in zip(parts, surges, strict=True) if s) + 1
+    stays = lambda k: surges[k] or parts[k][0] == RUN
+    kept = [(x, parts[k][0]) for x, k in zip(rows[first:end], part_of[first:end], strict=True) if x.weight and stays(k)]
+    peak = max(sum(x.weight for x, _ in kept[i : i + WINDOW]) for i in range(len(kept)))
+    while len(kept) > 1 and kept[0][1] != ARTICLE and _stray(kept[0][0], peak):
+        kept.pop(0)
+    while len(kept) > 1 and kept[-1][1] != ARTICLE and _stray(kept[-1][0], peak):
+        kept.pop()
+    return [x for x, _ in kept]
+
+
+def _stray(x: Line, peak: int) -> bool:
+    """A line at the text's edge that is far below the page's peak and no sentence or paragraph of it."""
+    return x.weight < peak / 8 and not x.prose and (x.text[-1] not in SENTENCE_ENDS or bool(RIGHTS.search(x.text)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
