@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import langid
-from tidemill.llm.base import WordTable, flat_words, held_out, sampled, text_slices, workers_ready
+from tidemill.llm.base import WordTable, flat_words, held_out, sampled, segment_sum, text_slices, workers_ready
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
 BEGINNINGS = (4, 5)
-#: Most labelled documents that training reads, about.
+#: Most labelled documents that training reads, about; ones longer than langid.TRAIN_BYTES aren't learnt from.
 TRAIN_DOCS = 6000
 TRIM = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -63,11 +63,20 @@ def buckets(words: list[bytes]) -> np.ndarray:
 _tables_of: dict[str, WordTable] = {}
 
 
+def _features(m: ToxicityModel, words: list[bytes]) -> np.ndarray:
+    """A word's vector, then its features for the language model, if there is one."""
+    vectors = m.emb[m.rows[buckets(words)]].sum(axis=1)
+    if m.language is None or not m.language.langs:
+        return vectors
+    parts, starts = flat_words(words, langid.split)  # a word of other white space is several there
+    return np.concatenate([vectors, segment_sum(langid.word_features(m.language, parts), starts)], axis=1)
+
+
 def _embedded(m: ToxicityModel) -> WordTable:
-    """The worker's table of word vectors for this model."""
+    """The worker's table of word features for this model."""
     if m.key not in _tables_of:
         _tables_of.clear()
-        _tables_of[m.key] = WordTable(lambda words: m.emb[m.rows[buckets(words)]].sum(axis=1))
+        _tables_of[m.key] = WordTable(lambda words: _features(m, words))
     return _tables_of[m.key]
 
 
@@ -97,12 +106,16 @@ def _answers(m: ToxicityModel, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.maximum(pooled + m.shift, 0) @ m.out + m.bias
 
 
-def raw_scores(m: ToxicityModel, texts: list[bytes]) -> np.ndarray:
-    """Log-odds before calibration."""
+def raw_scores(m: ToxicityModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds before calibration, and the number of each text's language (-1: none)."""
     if not texts:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0, int)
     words, starts = flat_words(texts, split)
-    return _answers(m, _embedded(m).of(words) if words else np.zeros((0, DIM), np.float32), starts)
+    x = _embedded(m).of(words) if words else np.zeros((0, DIM), np.float32)
+    lang = np.full(len(texts), -1)
+    if x.shape[1] > DIM:
+        lang = langid.answers(m.language, segment_sum(x[:, DIM:].astype(np.float64), starts))[0]
+    return _answers(m, np.ascontiguousarray(x[:, :DIM]), starts), lang
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
@@ -213,10 +226,9 @@ def _all(m: ToxicityModel, triples: np.ndarray, docs: list[np.ndarray]) -> np.nd
 
 def scores(m: ToxicityModel, texts: list[bytes]) -> np.ndarray:
     """Calibrated probabilities: 0.5 is the threshold of the text's language."""
-    z = raw_scores(m, texts)
+    z, lang = raw_scores(m, texts)
     at = np.full(len(texts), m.threshold)
     if m.thresholds and m.language is not None:
-        lang, _, _ = langid.predict(m.language, texts)
         for i, name in enumerate(m.language.langs):
             at[lang == i] = m.thresholds.get(name, m.threshold)
     return 1 / (1 + np.exp(-np.clip(z - at, -50, 50)))
@@ -228,6 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: st
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out("doc_id"))
     chosen = sampled(known, "doc_id", most, known.count()).groupBy("doc_id").agg(F.max("label").alias("label"))  # at most about `most` rows, so they can be broadcast
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    read = read.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= langid.TRAIN_BYTES)
     rows = read.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "label").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     texts = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
