@@ -19,9 +19,9 @@ GRAM = 4
 #: Weights are whole ten-thousandths, so that sums don't depend on the order of addition.
 SCALE = 10_000
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: The labelled URL table: words of hosts to block and to allow, each put into a few shapes below.
+#: The labelled URL table: words of hosts to block and to allow, more of the latter as on the web, each put into a few shapes below.
 BLOCK_WORDS = "casino-win free-bets cheap-pills poker-spins slots-bonus lotto-cash viagra-shop pills-online loan-fast payday-now sexy-chat hot-dates xxx-video crack-keys warez-zone bets-odds jackpot-spin replica-watches".split()
-ALLOW_WORDS = "library news-daily garden recipes museum school weather city-guide history science blog docs journal travel music forum health-info archive theredon intheran ouestion heander ertion thating".split()
+ALLOW_WORDS = "library news-daily garden recipes museum school weather city-guide history science blog docs journal travel music forum health-info archive bakery theatre university hospital bicycle parking maps translate dictionary poetry knitting chess football orchestra farmers weather-radar train-times city-hall repair-guide book-club hiking-trails birdwatch photo-album lecture-notes".split()
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
@@ -54,8 +54,7 @@ def weights() -> tuple[int, tuple[int, ...]]:
         g = 1 / (1 + np.exp(-(x @ w + b))) - y
         w -= 0.2 * (x.T @ g / len(rows) + 0.002 * w)
         b -= 0.2 * g.mean()
-    # hosts unlike the table score near the intercept: keep it at no more than even odds less a margin
-    return int(round(min(b, -0.5) * SCALE)), tuple(int(round(v * SCALE)) for v in w)
+    return int(round(b * SCALE)), tuple(int(round(v * SCALE)) for v in w)
 
 
 def _after_scheme(url: Column) -> Column:
