@@ -70,6 +70,7 @@ def test_terms():
     cut = terms.normalize_term({"a": 1, "b": 2, "c": 3}, items=2, depth=3)
     assert cut == {"a": 1, "b": 2, "__truncated__": True, "__original_count__": 3}
     assert terms.normalize_term({"a": {"b": {"c": 1}}}, depth=2) == {"a": {"b": "..."}}
+    assert terms.normalize_term({"a": 1, "b": [2]}, depth=1) == {"a": "...", "b": "..."} and terms.normalize_term(7, depth=0) == "..."
     assert terms.normalize_term(dt.date(2020, 1, 2)) == "2020-01-02"
-    assert terms.estimate_size("abc") == 3 and terms.estimate_size(7) == 8 and terms.estimate_size(None) == 1
-    assert terms.estimate_size({"id": 1, "name": "x" * 500}) > 16
+    assert terms.estimate_size({"id": 1, "name": "x" * 500}) == len('{"id":1,"name":""}') + 500
+    assert terms.estimate_size({"at": dt.date(2020, 1, 2), "é": Decimal("1.5"), "b": b"x"}) > 30

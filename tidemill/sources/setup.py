@@ -115,3 +115,24 @@ def begin_snapshot(run: Run) -> tuple[str, str]:
 
 def end_snapshot(run: Run, ok: bool = True) -> None:
     run("COMMIT" if ok else "ROLLBACK", [])
+
+
+class Source:
+    """A database to mirror: what a start prepares there, and the transaction of its snapshot."""
+
+    def __init__(self, run: Run, publication: str, slot_name: str) -> None:
+        self.run, self.publication, self.slot_name = run, publication, slot_name
+        self.exported: str | None = None  # the snapshot that readers of the tables import
+
+    def prepare(self, specs: Sequence[TableSpec]) -> Prepared:
+        return prepare(self.run, specs, self.publication, self.slot_name)
+
+    def begin_snapshot(self) -> str:
+        """The boundary."""
+        self.exported, boundary = begin_snapshot(self.run)
+        return boundary
+
+    def end_snapshot(self, ok: bool) -> None:
+        if self.exported is not None:
+            self.exported = None
+            end_snapshot(self.run, ok)
