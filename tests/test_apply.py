@@ -165,3 +165,50 @@ def test_assemble_ignores_open_transactions(spark):
     e = spark.createDataFrame([(1, "insert", 5, 1), (1, "commit", 9, 2), (2, "insert", 11, 3)], "xid long, kind string, lsn long, ts long")
     assert [(r.xid, r.begin_lsn, r.end_lsn, r.n_changes) for r in changelog.assemble(e).collect()] == [(1, 5, 9, 1)]
     assert changelog.empty_changes(spark).select(F.count("_op")).first()[0] == 0
+
+
+def test_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """However large the table, a batch rewrites about as many rows for each bucket that it touches."""
+    from tidemill.operators import store
+    from tidemill.operators.apply import apply_changes
+
+    monkeypatch.setattr(store, "BUCKET_ROWS", 50)
+    t = store.VersionedTable(spark, f"file://{tmp_path}", "raw", "t")
+    written = []
+    for k in range(6):
+        ops = [("I", {"id": i, "v": k}) for i in range(k * 200, k * 200 + 200)]
+        apply_changes(t, batch(spark, f"0/{k + 1}0", *ops), ("id",), f"0/{k + 1}0", n_buckets=2)
+        before = t.manifest().n_buckets
+        apply_changes(t, batch(spark, f"0/{k + 1}8", ("I", {"id": 1, "v": 100 + k})), ("id",), f"0/{k + 1}8")
+        m = t.manifest()
+        if m.n_buckets == before:  # growing rewrites the table once
+            written.append(sum(spark.read.parquet(f"{t.folder}/{f}").count() for f in m.buckets.values() if f"v={m.version}-" in f))
+    assert t.read().count() == 1200 and t.manifest().n_buckets >= 24 and len(written) >= 5 and max(written) <= 100
+    assert t.read().where("id = 1").first().v == "105"
+
+
+def test_appended_folders_are_merged(spark, tmp_path, monkeypatch):
+    from tidemill.operators import store
+    from tidemill.operators.apply import append_records
+
+    monkeypatch.setattr(store, "FOLDERS", 3)
+    monkeypatch.setattr(store, "VERSIONS", 4)
+    t = store.VersionedTable(spark, f"file://{tmp_path}", "raw", "t")
+    for k in range(10):
+        append_records(t, [{"id": k}], lsn.to_text(k + 1))
+        assert t.read().count() == k + 1
+    assert len(t.manifest().appended) <= 3 and len(t.files.names(f"{t.folder}/_manifest")) <= 6
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    """Also by writers that both saw that it wasn't there."""
+    import concurrent.futures as cf
+
+    from tidemill.session import Files
+
+    f = Files(spark)
+    path = f"file://{tmp_path}/m/1.json"
+    with cf.ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda k: f.publish(path, f"writer {k}" * 100), range(24)))
+    assert sum(got) == 1 and f.read(path) == f"writer {got.index(True)}" * 100
+    assert f.names(f"file://{tmp_path}/m") == ["1.json"]

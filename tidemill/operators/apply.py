@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemill.functions import lsn
 from tidemill.functions.types import cast_column, infer_columns, named, schema_of, to_kind
 from tidemill.operators.changelog import ChangeError, check_keys, collapse
+from tidemill.operators import store
 from tidemill.operators.store import BUCKETS, Manifest, VersionedTable, bucket_of
 
 BASE, NEW = "b", "n"
@@ -52,6 +53,7 @@ def append_rows(table: VersionedTable, rows: DataFrame, lsn_end: str, batch_id:
     schema = evolved(m.struct, rows.schema)
     files = table.write(conform(rows, schema), replace(m, keys=()), schema)
     n = table.spark.read.parquet(f"{table.folder}/{files.appended[-1]}").count()
+    files = table.merge_folders(files)
     table.commit(replace(files, keys=m.keys, applied_lsn=lsn_end, batch_id=batch_id))
     return result("ok", {"appends": n}, lsn_end)
 
@@ -143,9 +145,16 @@ def apply_changes(table: VersionedTable, changes: DataFrame, keys: tuple[str, ..
         m = replace(m, keys=keys, n_buckets=m.n_buckets if m.schema else n_buckets)
         winners = typed_winners(c.winners, keys, c.columns, schema).persist()
         try:
-            few = winners.count() <= BROADCAST_WINNERS
+            n = winners.count()
+            few = n <= BROADCAST_WINNERS
+            rows = n + (0 if c.truncated else m.n_rows)
+            if m.schema is not None and not c.truncated and rows > m.n_buckets * store.BUCKET_ROWS:  # updates counted as rows
+                rows = n + table.read(m).count()
+            m = replace(m, n_rows=rows)
             if c.truncated or m.schema is None:
-                files = _write_whole(table, m, winners, c.columns, keys, schema, few)
+                files = _write_whole(table, _more_buckets(m), winners, c.columns, keys, schema, few)
+            elif (wider := _more_buckets(m)).n_buckets > m.n_buckets:
+                files = table.write(merged(conform(table.read(m), schema), winners, c.columns, keys, schema, few), replace(wider, buckets={}), schema, whole=True)
             else:
                 touched = sorted(r[0] for r in winners.select(bucket_of(keys, m.n_buckets)).distinct().collect())  # n_buckets at most
                 old = conform(table.read(m, touched), schema) if any(str(b) in m.buckets for b in touched) else None
@@ -158,6 +167,16 @@ def apply_changes(table: VersionedTable, changes: DataFrame, keys: tuple[str, ..
         changes.unpersist()
 
 
+def _more_buckets(m: Manifest) -> Manifest:
+    """Enough buckets that one holds BUCKET_ROWS rows at most, about: a batch then rewrites so many for
+    each bucket it touches, however large the table. They grow by four, so rewriting the whole table for
+    it costs a constant share of what was written."""
+    n = m.n_buckets
+    while m.n_rows > n * store.BUCKET_ROWS:
+        n *= 4
+    return replace(m, n_buckets=n)
+
+
 def _write_whole(table: VersionedTable, m: Manifest, winners: DataFrame, columns: list[str], keys: tuple[str, ...], schema: T.StructType, few: bool) -> Manifest:
     return table.write(merged(None, winners, columns, keys, schema, few), replace(m, buckets={}), schema, whole=True)
 
@@ -176,7 +195,7 @@ def _append_changes(table: VersionedTable, m: Manifest, changes: DataFrame, lsn_
     schema = evolved(m.struct, T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in columns]))
     kinds = {f.name: f.dataType.simpleString() for f in schema}
     rows = rows.select(*[cast_column(F.col("_record")[c], "string", kinds[c]).alias(c) for c in schema.names])
-    files = table.write(rows, replace(m, appended=() if t is not None else m.appended), schema)
+    files = table.merge_folders(table.write(rows, replace(m, appended=() if t is not None else m.appended), schema))
     table.commit(replace(files, applied_lsn=lsn_end, batch_id=batch_id))
     return result("ok", counts, lsn_end, columns=schema.names)
 
@@ -190,7 +209,8 @@ def apply_snapshot(table: VersionedTable, rows: DataFrame, keys: tuple[str, ...]
     if not keys:
         return append_rows(table, rows, boundary, batch_id)
     schema = evolved(m.struct, rows.schema)
-    m2 = replace(m, keys=keys, n_buckets=m.n_buckets if m.schema else n_buckets)
+    n = rows.count()
+    m2 = _more_buckets(replace(m, keys=keys, n_buckets=m.n_buckets if m.schema else n_buckets, n_rows=m.n_rows + n))
     typed = conform(rows, T.StructType([f for f in schema if f.name in rows.columns]))
     null_key = F.lit(False)
     for k in keys:
@@ -199,7 +219,7 @@ def apply_snapshot(table: VersionedTable, rows: DataFrame, keys: tuple[str, ...]
     old = conform(table.read(m), schema) if m.schema else None
     files = table.write(merged(old, winners, list(rows.columns), keys, schema, False), replace(m2, buckets={}), schema, whole=True)
     table.commit(replace(files, applied_lsn=boundary, batch_id=batch_id))
-    return result("ok", {"upserts": rows.count()}, boundary)
+    return result("ok", {"upserts": n}, boundary)
 
 
 def mirrored(base: DataFrame | None, changes: DataFrame, keys: tuple[str, ...], types: Mapping[str, T.DataType] | None = None) -> DataFrame:

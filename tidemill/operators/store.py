@@ -21,6 +21,12 @@ from tidemill.functions.types import named
 from tidemill.session import Files
 
 BUCKETS = 16
+#: Rows of a bucket, about, beyond which a table gets four times as many buckets.
+BUCKET_ROWS = 1_000_000
+#: Appended folders of a level that are merged into one of the next level.
+FOLDERS = 32
+#: Versions whose manifests stay.
+VERSIONS = 100
 HIDDEN_BUCKET = "_bucket"
 
 
@@ -39,6 +45,7 @@ class Manifest:
     applied_lsn: str | None = None
     batch_id: int | None = None
     next_row: int = 0  # of synthetic positions
+    n_rows: int = 0  # of a keyed table, about: what its buckets were chosen for
 
     @property
     def struct(self) -> T.StructType | None:
@@ -89,10 +96,24 @@ class VersionedTable:
         found = {n.split("=")[1]: f"{folder}/{n}" for n in self.files.names(f"{self.folder}/{folder}") if n.startswith(f"{HIDDEN_BUCKET}=")}
         return replace(m, schema=text, buckets=found if whole else m.buckets | found)
 
+    def merge_folders(self, m: Manifest) -> Manifest:
+        """Merges FOLDERS appended folders of one level into one of the next, so a row is rewritten once
+        for each level and the folders stay few. Not yet published."""
+        for level in range(64):
+            small = [f for f in m.appended if _level(f) == level]
+            if len(small) < FOLDERS:
+                continue
+            folder = f"data/v={m.version + 1}-{uuid.uuid4().hex[:8]}-l{level + 1}"
+            rows = self.spark.read.schema(m.struct).parquet(*[f"{self.folder}/{f}" for f in small])
+            rows.coalesce(max(1, rows.rdd.getNumPartitions() // FOLDERS)).write.parquet(f"{self.folder}/{folder}")
+            m = replace(m, appended=tuple([folder, *[f for f in m.appended if f not in small]]))
+        return m
+
     def commit(self, m: Manifest) -> Manifest:
         done = replace(m, version=m.version + 1)
         if not self.files.publish(f"{self.folder}/_manifest/{done.version}.json", done.to_json()):
             raise CommitConflict(f"{'.'.join(self.name)} version {done.version}")
+        self.files.delete(f"{self.folder}/_manifest/{done.version - VERSIONS}.json")
         return done
 
     def vacuum(self, keep: int = 2) -> list[str]:
@@ -112,6 +133,11 @@ class VersionedTable:
         return None if at is None else lsn.parse(at)
 
 
+def _level(folder: str) -> int:
+    name = folder.rsplit("-l", 1)
+    return int(name[1]) if len(name) == 2 and name[1].isdigit() else 0
+
+
 def bucket_of(keys: tuple[str, ...], n: int):
     return F.pmod(F.xxhash64(*[named(k).cast("string") for k in keys]), F.lit(n)).cast("int")
 
