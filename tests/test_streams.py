@@ -9,9 +9,10 @@ from tidemill.operators.store import VersionedTable, register_views
 from tidemill.plans.specs import ConfigError, IngestConfig, StreamConfig, TableSpec
 from tidemill.sources import frames as fr
 from tidemill.sources import snapshot as sn
+from tidemill.sources.setup import Source
 from tidemill.streaming.batches import BatchBuffer, BatchQueue, QueueOverflow
 from tidemill.streaming.meta import SqliteMetaStore, start_lsn, statements, with_retries
-from tidemill.streaming.runtime import AppendStream, Manager, start_stream
+from tidemill.streaming.runtime import AppendStream, LagGuard, LagLimit, Manager, start_stream
 
 USERS = {"source_schema": "public", "source_table": "users", "target_schema": "raw", "target_table": "users", "primary_keys": ["id"]}
 
@@ -148,6 +149,112 @@ def test_append_stream(spark, tmp_path):
     assert t.read().count() == 4 and again.meta.fetch_checkpoint("app:public.users") == "0/11"
 
 
+class Slow(AppendStream):
+    """Writes only when told to."""
+
+    def __init__(self, *args, **kwargs):
+        self.go, self.written = threading.Semaphore(0), []
+        super().__init__(*args, **kwargs)
+
+    def _write(self, name, batch):
+        self.go.acquire()
+        self.written.append([r["id"] for r in batch.rows])
+
+
+@pytest.mark.parametrize("overflow", ["fail", "drop_oldest"])
+def test_append_queue_is_bounded(spark, tmp_path, overflow):
+    events = []
+    c = config(tmp_path, tables=[USERS | {"primary_keys": []}], ingest={"max_rows": 1, "max_pending": 2, "overflow": overflow})
+    s = Slow(spark, c, emit=lambda e, m, about: events.append((e[-1], m)))
+    for i in range(3):  # one in flight, two that wait; append() doesn't block
+        s.append("raw.users", {"id": i})
+    if overflow == "fail":
+        with pytest.raises(QueueOverflow):
+            s.append("raw.users", {"id": 3})
+    else:
+        s.append("raw.users", {"id": 3})
+        assert ("batch_dropped", {"rows": 1}) in events
+    s.go.release(10)
+    s.stop()
+    assert s.written == ([[0], [1], [2]] if overflow == "fail" else [[0], [2], [3]])
+    assert ("batch_queue", {"inflight": 1, "pending": 2}) in events and not s.thread.is_alive()
+    with pytest.raises(RuntimeError):
+        s.append("raw.users", {"id": 9})
+
+
+def test_append_flushes_by_age(spark, tmp_path):
+    c = config(tmp_path, tables=[USERS | {"primary_keys": []}], ingest={"flush_interval_ms": 40})
+    s = Slow(spark, c)
+    s.go.release(10)
+    s.append("raw.users", {"id": 1})
+    for _ in range(200):
+        if s.written:
+            break
+        threading.Event().wait(0.02)
+    assert s.written == [[1]]  # without tick() or flush()
+    s.stop()
+
+
+def test_append_stops_at_an_error(spark, tmp_path):
+    class Broken(AppendStream):
+        def _write(self, name, batch):
+            raise OSError("no disk")
+
+    seen = []
+    s = Broken(spark, config(tmp_path, tables=[USERS | {"primary_keys": []}]), observer=lambda kind, x: seen.append((kind, str(x))))
+    s.append("raw.users", {"id": 1})
+    with pytest.raises(RuntimeError) as e:
+        s.flush()
+    assert str(e.value.__cause__) == "no disk" and seen == [("stopped", "no disk")]
+    s.stop()
+
+
+def test_lag_guard(tmp_path):
+    events = []
+    g = LagGuard(config(tmp_path, max_lag_bytes=100), lambda e, m, about: events.append((e[-1], m.get("lag_bytes"), about.get("status"))))
+    assert g.check(150, 60) == 90 and g.check(100, 150) == 0
+    with pytest.raises(LagLimit, match="250 bytes"):
+        g.check(400, 150)
+    assert ("backpressure", 250, "entered") in events and ("lag", 250, None) in events and ("connection", None, "lag_exceeded") in events
+    assert g.check(400, 390) == 10 and ("backpressure", 10, "cleared") in events
+
+
+def test_stream_with_a_source(spark, tmp_path):
+    """Setup, publication and slot, the snapshot's transaction, events, and the guard, in one start."""
+    spark.dataSource.register(fr.FramesDataSource)
+    wal, said, events, at = str(tmp_path / "wal"), [], [], {"head": "0/30"}
+    os.makedirs(wal)
+    changes = lambda at: spark.readStream.format("tidemill_frames").option("path", wal).option("startLsn", at).load()
+    snap = spark.createDataFrame([(1, "alice")], "id int, name string")
+
+    def run(sql, params):
+        said.append(sql.split(" FROM ")[0].split("(")[0].strip())
+        return [("f",)] if "relreplident" in sql else [("snap-1",)] if "export" in sql else [("0/10",)] if "current_wal" in sql else [("s", "0/8")] if "create_logical" in sql else []
+
+    c = config(tmp_path, catalog="main", setup_sql="CREATE OR REPLACE TEMP VIEW made_by_setup AS SELECT 1 AS x", max_lag_bytes=1000)
+    h = start_stream(spark, c, changes, lambda s: snap, trigger={"processingTime": "200 milliseconds"}, head=lambda: at["head"], source=Source(run, "pub", "slot"), setup=lambda s: said.append("setup"), emit=lambda e, m, about: events.append((".".join(e[1:]), about.get("status"))))
+    try:
+        assert said[0] == "setup" and said[-1] == "COMMIT" and "BEGIN ISOLATION LEVEL REPEATABLE READ READ ONLY" in said and any(x.startswith("CREATE PUBLICATION") for x in said)
+        assert spark.table("made_by_setup").first().x == 1 and "/main/raw/users" in h.table("raw", "users").folder and h.start_lsn == "0/10"
+        fr.write_segment(wal, "001", [relation(), begin(1, 0x18), insert("3", "carol"), commit(0x18, 0x20)])
+        h.flush()
+        assert h.table("raw", "users").read().count() == 2
+        assert {("cdc.connection", "started"), ("cdc.event", "upserts"), ("batch.processed", "ok"), ("cdc.lag", None), ("service.ack_checkpoint_lag", None)} <= set(events)
+        at["head"] = "0/FFFF"
+        fr.write_segment(wal, "002", [begin(2, 0x28), insert("4", "dave"), commit(0x28, 0x30)])
+        with pytest.raises(Exception, match="bytes behind"):
+            h.flush()
+    finally:
+        h.stop()
+    said.clear()
+    fail = lambda s: (_ for _ in ()).throw(OSError("gone"))
+    with pytest.raises(OSError):
+        start_stream(spark, config(tmp_path / "b", meta_path=str(tmp_path / "b.db")), changes, fail, source=Source(run, "pub", "slot"))
+    assert said[-1] == "ROLLBACK"
+    with pytest.raises(ConfigError, match="boundary"):
+        start_stream(spark, config(tmp_path, catalog="main", snapshot_on_restart=True), changes, lambda s: snap)
+
+
 def test_failed_batch_comes_again(spark, tmp_path):
     """A checkpoint that can't be written fails the batch; its replay changes nothing."""
     from tests.test_apply import batch

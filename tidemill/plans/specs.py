@@ -130,6 +130,9 @@ class StreamConfig:
     default_start_lsn: str = "0/0"
     max_lag_bytes: int | None = None
     checkpoint_location: str | None = None
+    catalog: str | None = None
+    #: SQL that each start runs first, such as settings and views.
+    setup_sql: tuple[str, ...] = ()
     #: Of a new keyed table; about its final size by 256 MB, as a batch rewrites whole buckets.
     buckets: int = 16
 
@@ -147,7 +150,8 @@ class StreamConfig:
             raise ConfigError(f"missing keys: {missing}")
         tables = tuple(t if isinstance(t, TableSpec) else TableSpec.from_dict(t, given["source_name"]) for t in given["tables"])
         ingest = given.get("ingest") or {}
-        return StreamConfig(**(given | {"tables": tables, "ingest": ingest if isinstance(ingest, IngestConfig) else IngestConfig(**ingest)}))
+        sql = given.get("setup_sql") or ()
+        return StreamConfig(**(given | {"setup_sql": (sql,) if isinstance(sql, str) else tuple(sql), "tables": tables, "ingest": ingest if isinstance(ingest, IngestConfig) else IngestConfig(**ingest)}))
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,12 @@ from tidemill.functions.terms import normalize_term
 
 PREFIX = "tidemill"
 # The events there are.
-EVENTS = tuple((PREFIX, *e.split(".")) for e in ("cdc.event", "cdc.connection", "cdc.frame", "cdc.lag", "cdc.backpressure", "batch.flushed", "batch.processed", "service.batch_queue", "append_stream.batch_queue", "append_stream.batch_dropped", "service.ack_checkpoint_lag"))
+EVENTS = tuple((PREFIX, *e.split(".")) for e in ("cdc.event", "cdc.connection", "cdc.lag", "cdc.backpressure", "batch.flushed", "batch.processed", "append_stream.batch_queue", "append_stream.batch_dropped", "service.ack_checkpoint_lag"))
+Emit = Callable[[tuple[str, ...], Mapping[str, Any], Mapping[str, Any]], Any]
+
+
+def quiet(event: tuple[str, ...], measurements: Mapping[str, Any], metadata: Mapping[str, Any]) -> None:
+    """Where nobody listens."""
 GROUP = ("event", "status", "source", "table_schema", "table_name")
 DEBOUNCE_MS, MAX_WINDOW_MS, SUPPRESS_MS, DEPTH, ITEMS = 2_000, 30_000, 1_000, 4, 100
 
