@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions import lsn, terms
 from tidemill.functions.types import kinds_by_rank, pg_microseconds, pg_timestamp
-from tidemill.operators.apply import conform, evolved, mirrored
+from tidemill.operators.apply import append_rows, apply_changes, apply_snapshot, conform, evolved
 from tidemill.operators.changelog import assemble, back_fill, op_code, route
 from tidemill.operators.numbering import numbered_rows
+from tidemill.operators.store import VersionedTable
 from tidemill.plans.specs import TableSpec
-from tidemill.sources.snapshot import scan, tag
+from tidemill.session import shared_folder, workers_ready
+from tidemill.sources.pgoutput import UNCHANGED, Converter, Message
+from tidemill.sources.snapshot import payload, run_snapshot, scan
 from tidemill.streaming.batches import batch_numbers, batch_stats
 from tidemill.streaming.meta import start_lsn
 from tidemill.streaming.telemetry import backpressure_edges, islands, summarize
@@ -51,6 +56,21 @@ def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(op.alias("_op"), ((xid + 1) * 10).cast(lsn.LSN_TYPE).alias("_commit_lsn"), (F.col("event_id") + 1).alias("_seq"), xid.alias("_xid"), ts.alias("_source_ts"), ts.alias("_ingest_ts"), F.lit("public").alias("_relation_schema"), F.lit("users").alias("_relation_table"), F.when(op != "D", record).alias("_record"), F.when(op == "D", record).alias("_old_record"))
 
 
+def target(spark: SparkSession, name: str) -> VersionedTable:
+    """A new table of the lake."""
+    workers_ready(spark)
+    return VersionedTable(spark, shared_folder(spark, name), "raw", name)
+
+
+def end_of(changes: DataFrame) -> str:
+    return lsn.to_text(int(changes.agg(F.max("_commit_lsn")).first()[0] or 0))
+
+
+def user_table(spark: SparkSession, t: VersionedTable) -> DataFrame:
+    """The mirrored users; a table that no change has made yet is empty."""
+    return t.read().select("user_id", "event_type", "value") if t.exists() else spark.createDataFrame([], "user_id long, event_type string, value double")
+
+
 USER_TYPES = {"user_id": T.LongType(), "event_type": T.StringType(), "value": T.DoubleType()}
 _LAST = "SELECT user_id, event_type, value FROM {src} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
 
@@ -67,20 +87,27 @@ def mirror_orders_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = _text_map(("o_orderkey", moved), ("o_custkey", F.col("o_custkey")), ("o_orderstatus", F.col("o_orderstatus")), ("o_totalprice", price))
     op = F.when(k == 1, "D").when(k == 8, "I").otherwise("U")
     changes = o.where(k.isin(0, 1, 2, 8)).select(op.alias("_op"), F.lit(100).cast(lsn.LSN_TYPE).alias("_commit_lsn"), F.col("o_orderkey").alias("_seq"), F.when(op != "D", new).alias("_record"), F.when(op != "I", old).alias("_old_record"))
-    return mirrored(o.where(k < 8), changes, ("o_orderkey",))
+    t = target(spark, "orders")
+    apply_snapshot(t, o.where(k < 8), ("o_orderkey",), "0/10")
+    apply_changes(t, changes, ("o_orderkey",), "0/64")
+    return t.read().select(*names)
 
 
 @query(_LAST.format(src="events") + " AND event_type <> 'error'")
 def mirror_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last writer of each key wins; a last delete leaves no row."""
-    return mirrored(None, changelog(spark, sf_dir), ("user_id",), USER_TYPES).select("user_id", "event_type", "value")
+    c, t = changelog(spark, sf_dir), target(spark, "users")
+    apply_changes(t, c, ("user_id",), end_of(c), types=USER_TYPES)
+    return user_table(spark, t)
 
 
 @query(_LAST.format(src="(SELECT * FROM events WHERE event_id + 1 > (SELECT coalesce(max(event_id + 1), 0) FROM events WHERE (event_id + 1) % 997 = 0))") + " AND event_type <> 'error'")
 def mirror_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 997th change is a truncate: only what follows the last one counts."""
     c = changelog(spark, sf_dir).withColumn("_op", F.when(F.col("_seq") % 997 == 0, "T").otherwise(F.col("_op")))
-    return mirrored(None, c, ("user_id",), USER_TYPES).select("user_id", "event_type", "value")
+    t = target(spark, "users")
+    apply_changes(t, c, ("user_id",), end_of(c), types=USER_TYPES)
+    return user_table(spark, t)
 
 
 @query("SELECT event_id // 10 AS xid, min(event_id + 1) AS begin_lsn, (event_id // 10 + 1) * 10 AS end_lsn, count(*) AS n_changes, count(*) FILTER (WHERE event_type = 'signup') AS n_insert, count(*) FILTER (WHERE event_type NOT IN ('signup', 'error')) AS n_update, count(*) FILTER (WHERE event_type = 'error') AS n_delete FROM events GROUP BY event_id // 10")
@@ -149,11 +176,11 @@ def dedup_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A replay with shifted borders changes nothing: rows up to the applied position are left out."""
     c = changelog(spark, sf_dir)
     edge = c.agg(F.percentile_approx(F.col("_commit_lsn").cast("bigint"), 0.5)).first()[0] or 0
-    first = c.where(F.col("_commit_lsn") <= edge)
-    again = c.where(F.col("_commit_lsn") > edge - 200)  # overlaps what was applied
-    fresh = again.where(F.col("_commit_lsn") > F.lit(edge).cast(lsn.LSN_TYPE))
-    base = mirrored(None, first, ("user_id",), USER_TYPES)
-    return mirrored(base, fresh, ("user_id",)).select("user_id", "event_type", "value")
+    t, first = target(spark, "users"), c.where(F.col("_commit_lsn") <= edge)
+    apply_changes(t, first, ("user_id",), end_of(first), types=USER_TYPES)
+    apply_changes(t, first, ("user_id",), end_of(first))  # the same batch again
+    apply_changes(t, c.where(F.col("_commit_lsn") > edge - 200), ("user_id",), end_of(c))  # overlaps what was applied
+    return user_table(spark, t)
 
 
 @query("SELECT CASE WHEN count(DISTINCT event_type) < 5 THEN '0/0' ELSE printf('%X/%X', min(m) // 4294967296, min(m) % 4294967296) END AS start_lsn FROM (SELECT event_type, max(event_id) AS m FROM events GROUP BY event_type)")
@@ -179,8 +206,10 @@ def snapshot_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = (edge // 10) * 10 + 9  # the end of a transaction
     last = e.where(F.col("event_id") <= edge).groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), "event_id").alias("x")).where("x.event_type <> 'error'")
     snapshot = scan(last.select("user_id", "x.event_type", "x.value"), columns=["user_id", "event_type", "value"], where="user_id is not null")
-    rows = tag(snapshot, SPECS[0], lsn.to_text(edge + 1)).drop("_op", "_commit_lsn", "_xid", "_source_ts", "_ingest_ts", "_relation_schema", "_relation_table")
-    return mirrored(rows, c.where(F.col("_commit_lsn") > edge + 1), ("user_id",)).select("user_id", "event_type", "value")
+    t, at = target(spark, "users"), lsn.to_text(edge + 1)
+    run_snapshot({SPECS[0]: snapshot}, at, lambda spec, rows: apply_snapshot(t, payload(rows), ("user_id",), at) and None)
+    apply_changes(t, c, ("user_id",), end_of(c))  # from the start: the table skips what the snapshot holds
+    return user_table(spark, t)
 
 
 @query("SELECT user_id, event_id, CASE WHEN active THEN 'entered' ELSE 'cleared' END AS edge FROM (SELECT *, lag(active, 1, false) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM (SELECT user_id, event_id, greatest(event_id * 37 % 1000 - event_id * 11 % 700, 0) > 300 AS active FROM events)) WHERE active <> was")
@@ -201,7 +230,47 @@ def telemetry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appended rows with synthetic positions."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"))
-    return numbered_rows(e, ["event_id"], "position").select("position", "event_id", "kind")
+    rows, t = numbered_rows(e, ["event_id"], "position"), target(spark, "events")
+    rows = rows.withColumn("at", F.col("position").cast(lsn.LSN_TYPE))
+    n = e.count()
+    append_rows(t, rows.where(F.col("position") <= n // 2), lsn.to_text(n // 2), at="at")
+    append_rows(t, rows, lsn.to_text(n), at="at")  # the first half again: skipped row by row
+    return t.read().select("position", "event_id", "kind")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'renamed' ELSE s_name END AS s_name, concat('a long value of ', s_name) AS note FROM supplier WHERE s_suppkey % 7 <> 0")
+def toast_unchanged_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, updates that leave a large value unchanged, and deletes as protocol messages through the
+    converter into a table: the value stays. Messages are converted where the rows are."""
+    workers_ready(spark)
+    columns = [{"name": "s_suppkey", "key": True}, {"name": "s_name", "key": False}, {"name": "note", "key": False}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Converter()
+        c.convert(Message("relation", {"id": 1, "schema": "public", "table": "supplier", "columns": columns}))
+        for b in batches:
+            out: list[dict[str, Any]] = []
+            for key, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                row = [str(key), name, f"a long value of {name}"]
+                said = [Message("insert", {"relation_id": 1, "new": row})]
+                if key % 3 == 0:
+                    said.append(Message("update", {"relation_id": 1, "identity": "full", "old": row, "new": [row[0], "renamed", UNCHANGED]}))
+                if key % 7 == 0:
+                    said.append(Message("delete", {"relation_id": 1, "identity": "key", "old": [row[0], None, None]}))
+                for seq, e in enumerate(map(c.convert, said)):
+                    out.append({"_op": e.kind[0].upper(), "_seq": 10 * key + seq, "_record": e.record, "_old_record": e.old_record})
+            text = pa.map_(pa.string(), pa.string())
+            plain = lambda r: None if r is None else list(r.items())
+            yield pa.record_batch({"_op": pa.array([r["_op"] for r in out], pa.string()), "_seq": pa.array([r["_seq"] for r in out], pa.int64()), "_record": pa.array([plain(r["_record"]) for r in out], text), "_old_record": pa.array([plain(r["_old_record"]) for r in out], text)})
+
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+    changes = rows.mapInArrow(run, "_op string, _seq long, _record map<string,string>, _old_record map<string,string>")
+    changes = changes.withColumn("_commit_lsn", F.when(F.col("_op") == "I", 16).otherwise(32).cast(lsn.LSN_TYPE))
+    t = target(spark, "supplier")
+    types = {"s_suppkey": T.LongType()}
+    apply_changes(t, changes.where("_op = 'I'"), ("s_suppkey",), "0/10", types=types)
+    apply_changes(t, changes.where("_op <> 'I'"), ("s_suppkey",), "0/20")
+    return t.read().select("s_suppkey", "s_name", "note")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, props FROM events")
