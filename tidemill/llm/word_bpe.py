@@ -20,7 +20,7 @@ import numpy as np
 from tidemill.llm.base import WordTable, _Numbered
 
 MARK = "\x01"
-WORDS_HELD = 700_000
+WORDS_HELD = 350_000
 # The steps before the model for which the short way holds.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
