@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import SF, rows_of
 
 from tidemill.llm import decontam, html_text, langid, queries, toxicity, url_filter
@@ -186,6 +187,28 @@ def test_learning_never_sees_the_held_out_fold(spark):
     assert langid.learn(docs).langs == ["learnt"]
 
 
+def test_learning_is_bounded(spark, monkeypatch):
+    """One id with a third of all rows, equal rows, and long texts don't make what the driver gathers grow."""
+    ids = [i for i in range(4000) if __import__("zlib").crc32(str(i).encode()) % 5]
+    seen = []
+    train, learnt = langid.train, lambda texts, labels: seen.append(texts) or train(texts, labels)
+    monkeypatch.setattr(langid, "train", learnt)
+    hot = [(ids[0], f"one two {i}", "en") for i in range(1500)]
+    docs = spark.createDataFrame(hot + [(i, f"uno due {i}", "it") for i in ids[1:]], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    for most in (30, 100, 600):
+        langid.learn(docs, most=most)
+        monkeypatch.setattr(toxicity, "train", lambda texts, labels, language: seen.append(texts))
+        toxicity.learn(docs, marks, most=most)
+        assert all(len(x) < 3 * most for x in seen)
+    seen.clear()
+    langid.learn(docs.where(f"doc_id = {ids[0]}").select("doc_id", F.lit("the same text").alias("text"), "lang"), most=2000)
+    assert seen.pop() == [b"the same text"]
+    monkeypatch.setattr(langid, "TRAIN_TOTAL", 2000)
+    langid.learn(docs.select("doc_id", F.repeat("text", F.lit(20)).alias("text"), "lang"), most=600)
+    assert 0 < sum(map(len, seen.pop())) < 6000
+
+
 # --- toxicity
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Most keys (8 to 40 bytes each, about 60 MB as a hash relation) that a join may broadcast; more are joined by a shuffle.
@@ -319,12 +319,22 @@ def segment_sum(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sampled(rows: DataFrame, key: str, about: int, total: int) -> DataFrame:
+def sampled(rows: DataFrame, key: str | list[str], about: int, total: int) -> DataFrame:
     """About `about` of the rows (all, if there are no more), by a hash of their key."""
     if total <= about:
         return rows
     part = (about << 56) // total
-    return rows.where(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(20)), 8) < F.lit(part))
+    keys = [key] if isinstance(key, str) else key
+    return rows.where(F.shiftrightunsigned(F.xxhash64(*keys, F.lit(20)), 8) < F.lit(part))
+
+
+def gathered(rows: DataFrame, work: Scratch, name: str, most: int, most_bytes: int) -> list[Row]:
+    """The distinct rows (doc_id, text, ...) on the driver. Where one id has very many rows, or the texts are long,
+    only about `most` of them with about `most_bytes` of text, by a hash of id and text."""
+    saved = work.save(rows.distinct(), name)
+    n, size = saved.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, most / max(1, n), most_bytes / max(1, size))
+    return sampled(saved, ["doc_id", "text"], int(share * n) if share < 1 else n, n).collect()
 
 
 def held_out(key: str) -> F.Column:

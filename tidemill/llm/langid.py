@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import WordTable, flat_words, held_out, sampled, segment_sum, text_slices, workers_ready
+from tidemill.llm.base import Scratch, WordTable, flat_words, gathered, held_out, sampled, segment_sum, text_slices, workers_ready
 
 BUCKETS, DIM = 1 << 15, 16
 GRAMS = (2, 3, 4)
-#: Most labelled documents that training reads, about, and the longest of them in bytes.
-TRAIN_DOCS, TRAIN_BYTES = 1500, 1 << 18
+#: Most labelled documents that training reads, about, the longest of them in bytes, and all of them together.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_TOTAL = 1500, 1 << 18, 16 << 20
 #: The share of calibration texts that the rejection threshold may cost, and the lengths in words to which these are cut.
 LOST, CUTS = 0.001, (4, 8, 16)
 UNKNOWN = "und"
@@ -222,12 +222,14 @@ def predict(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray, np.nd
 
 
 def learn(docs: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Trains on about `most` rows (by a hash of the id) outside the held-out fold."""
+    """Trains on about `most` rows (by a hash of the id) outside the held-out fold; on twice as many at most
+    where ids repeat, and on about TRAIN_TOTAL bytes."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = read.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES) & ~held_out("doc_id"))
     total = known.select("doc_id").count()
-    rows = sampled(known, "doc_id", most, total).select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    work = Scratch(docs.sparkSession, "language")
+    rows = gathered(sampled(known, "doc_id", most, total).select("doc_id", "text", "lang"), work, "learnt", 2 * most, TRAIN_TOTAL)
+    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
     if not rows:
         return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
     return train([r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["lang"] for r in rows])

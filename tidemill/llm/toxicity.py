@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import langid
-from tidemill.llm.base import WordTable, flat_words, held_out, sampled, segment_sum, text_slices, workers_ready
+from tidemill.llm.base import Scratch, WordTable, flat_words, gathered, held_out, sampled, segment_sum, text_slices, workers_ready
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
 BEGINNINGS = (4, 5)
-#: Most labelled documents that training reads, about; ones longer than langid.TRAIN_BYTES aren't learnt from.
-TRAIN_DOCS = 6000
+#: Most labelled documents that training reads, about, and their bytes; ones longer than langid.TRAIN_BYTES aren't learnt from.
+TRAIN_DOCS, TRAIN_TOTAL = 6000, 24 << 20
 TRIM = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -235,14 +235,16 @@ def scores(m: ToxicityModel, texts: list[bytes]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> ToxicityModel:
-    """Trains on about `most` labelled rows (by a hash of the id) outside the held-out fold; the language
-    model that chooses the thresholds is fitted on all of these that tell their language."""
+    """Trains on about `most` labelled rows (by a hash of the id) outside the held-out fold (on twice as many at
+    most where ids repeat, and on about TRAIN_TOTAL bytes); the language model that chooses the thresholds is
+    fitted on all of these that tell their language."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & ~held_out("doc_id"))
     chosen = sampled(known, "doc_id", most, known.count()).groupBy("doc_id").agg(F.max("label").alias("label"))  # at most about `most` rows, so they can be broadcast
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     read = read.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= langid.TRAIN_BYTES)
-    rows = read.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "label").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    labelled = read.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "label")
+    rows = gathered(labelled, Scratch(docs.sparkSession, "toxicity"), "learnt", 2 * most, TRAIN_TOTAL)
+    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"] or ""))
     texts = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
     told = [i for i, r in enumerate(rows) if r["lang"] is not None]
     language = langid.train([texts[i] for i in told], [rows[i]["lang"] for i in told]) if told else None
