@@ -219,6 +219,61 @@ def test_lag_guard(tmp_path):
     assert g.check(400, 390) == 10 and ("backpressure", 10, "cleared") in events
 
 
+def segments(folder, n=40, per_segment=3):
+    """A log of n transactions, whose segments end within transactions, with a column added half-way; the
+    frames of transaction k repeat k - 1 now and then, as after a reconnection."""
+    frames, want = [relation()], []
+    for k in range(1, n + 1):
+        if k == n // 2:
+            frames.append(relation(columns=(("id", 1), ("name", 0), ("email", 0))))
+        row = (str(k), f"name {k}", *([f"mail {k}"] if k >= n // 2 else []))
+        one = [begin(k, 16 * k), insert(*row), insert(f"{k}-b", *row[1:]), commit(16 * k, 16 * k + 8)]
+        frames += one * (2 if k % 7 == 0 else 1)
+        want += [(16 * k + 8, j, dict(zip(("id", "name", "email"), (i, *row[1:]), strict=False))) for j, i in enumerate((str(k), f"{k}-b"))]
+    for s, at in enumerate(range(0, len(frames), per_segment)):
+        fr.write_segment(folder, f"{s:04}", frames[at : at + per_segment])
+    return want
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 20])
+def test_frames_are_read_by_many_tasks(spark, tmp_path, most):
+    spark.dataSource.register(fr.FramesDataSource)
+    wal = str(tmp_path / "wal")
+    want = segments(wal)
+    df = spark.read.format("tidemill_frames").option("path", wal).option("maxPartitionBytes", most).load()
+    assert df.rdd.getNumPartitions() == {1: 40, 1 << 20: 1}.get(most, df.rdd.getNumPartitions())
+    assert sorted(((int(r[0]), r[1], r[2]) for r in df.select("_commit_lsn", "_seq", "_record").collect()), key=lambda r: r[:2]) == want
+    late = spark.read.format("tidemill_frames").option("path", wal).option("maxPartitionBytes", most).option("startLsn", lsn.to_text(16 * 30 + 8)).load()
+    assert sorted(int(r[0]) for r in late.select("_commit_lsn").distinct().collect()) == [16 * k + 8 for k in range(31, 41)]
+
+
+def test_log_reads_what_was_added(tmp_path, monkeypatch):
+    wal = str(tmp_path / "wal")
+    segments(wal)
+    got = lambda spans: [t.end_lsn for s in spans for t in s.transactions()]
+    log, opened = fr.Log(wal), []
+    log.refresh()
+    read = log._read
+    monkeypatch.setattr(log, "_read", lambda name: opened.append(name) or read(name))
+    all_of = [16 * k + 8 for k in range(1, 41)]
+    assert got(log.spans(0, 1 << 60, 200)) == all_of
+    opened.clear()
+    log.forget(all_of[24])
+    assert log.after(0) == all_of[25:] and len(log.relations) == 1 and log.spans(all_of[30], all_of[31], 1)[0].start == all_of[30]
+    fr.write_segment(wal, "9000", [begin(50, 800), insert("50", "x", "y")])
+    log.refresh()
+    assert opened == ["9000.frames"] and got(log.spans(all_of[25], 1 << 60, 200)) == all_of[26:]
+    fr.write_segment(wal, "9001", [commit(800, 808), begin(51, 816)])
+    log.refresh()
+    last = log.spans(all_of[-1], 808, 200)
+    assert opened[-1] == "9001.frames" and got(last) == [808] and len(last[0].pieces) <= 3  # only its own bytes
+    assert got(log.spans(0, 808, 200)) == [*all_of, 808]  # asked for what it forgot: from the start again
+    fr.write_segment(wal, "9002", [begin(52, 832)])
+    with pytest.raises(ValueError, match="unexpected_begin"):
+        log.refresh()
+    assert fr.Log(str(tmp_path)).spans(0, 9, 1) == []
+
+
 def test_stream_with_a_source(spark, tmp_path):
     """Setup, publication and slot, the snapshot's transaction, events, and the guard, in one start."""
     spark.dataSource.register(fr.FramesDataSource)
