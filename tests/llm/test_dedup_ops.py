@@ -3,11 +3,12 @@ import itertools
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemill.llm import exact_dedup, ngram_join
+from tidemill.llm import base, exact_dedup, ngram_join, token_counts
 from tidemill.llm.base import Scratch, keep_or_drop
 from tidemill.llm.components import connected_components
 
@@ -210,3 +211,26 @@ def test_sweep(spark):
     assert Files(spark).exists(work.path("t"))
     base._delete(spark, work.folder)
     assert not Files(spark).exists(work.folder)
+
+
+def test_lookups_where_only_spark_opens_the_folder(spark, tmp_path, monkeypatch):
+    """Decisions about rows take effect also where Arrow doesn't know the store of the shared folder."""
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choices("ab cd ef gh ij kl mn op".split(), k=40))
+    own = [text() for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate([*own, *(t.upper() for t in own[:9]), *(t + " more" for t in own[9:20]), None, ""])]
+    rows += [(None, own[0]), (3, own[3])]
+    docs = Scratch(spark, "docs").save(frame(spark, rows), "docs")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+
+    def answers(name):
+        counts = token_counts.count_tokens(docs, path, str(tmp_path / name))
+        made = [exact_dedup.drop_duplicates(docs), ngram_join.keep_one_each(docs), ngram_join.similar_components(docs), counts]
+        assert made[0].columns == made[1].columns == docs.columns
+        return [sorted(map(repr, x.collect())) for x in made]
+
+    direct = answers("direct")
+    assert not base.arrow_opens("nowhere://host/folder") and not base.arrow_opens(str(tmp_path / "absent"))
+    monkeypatch.setattr(base, "arrow_opens", lambda folder: False)
+    assert answers("joined") == direct
+    assert len(direct[0]) == len({low(t) for _, t in rows}) and len(direct[2]) == len(rows)

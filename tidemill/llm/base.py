@@ -139,23 +139,52 @@ def located(docs: DataFrame, work: Scratch) -> DataFrame:
     return places(work.save(docs, "located"))
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the file system that Spark takes for it; a plain path if that is the local one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "/", full)
+
+
+def arrow_opens(folder: str) -> bool:
+    """Whether Arrow knows the folder's file system and finds the folder there."""
+    from pyarrow import fs
+
+    try:
+        store, base = fs.FileSystem.from_uri(folder)
+        return store.get_file_info(base).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
 class Lookup:
     """A table of rows (FILE, AT, ...) that tasks look up by the places of the rows they scan: each task
     reads the row groups of its own places, so nothing is broadcast but the bounds of the table's files,
-    of which there is one for each task that wrote it."""
+    of which there is one for each task that wrote it. Where Arrow can't open the shared folder (a store
+    that only Spark reads), rows are joined with the table by a shuffle instead."""
 
     def __init__(self, rows: DataFrame, work: Scratch, name: str) -> None:
         workers_ready(work.spark)
-        self.folder = work.path(name)
         ordered = rows.repartitionByRange(FILE, AT).sortWithinPartitions(FILE, AT)
-        ordered.write.option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(self.folder)
-        saved = work.spark.read.schema(rows.schema).parquet(self.folder)
+        ordered.write.option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(work.path(name))
+        saved = work.spark.read.schema(rows.schema).parquet(work.path(name))
+        self.folder, self.schema = _qualified(work.spark, work.path(name)), rows.schema
+        self.direct = arrow_opens(self.folder)
         place = F.struct(FILE, AT)
         files = saved.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).collect()
         self.files = sorted((tuple(r["lo"]), tuple(r["hi"]), r["name"]) for r in files)
 
+    def saved(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self.folder)
+
+    def scanned(self, docs: DataFrame) -> DataFrame:
+        """docs as tasks with a reader() need them: with FILE and AT."""
+        return docs if self.direct else docs.join(self.saved(docs.sparkSession).hint("merge"), [FILE, AT])
+
     def reader(self) -> Callable[[pa.RecordBatch], tuple[np.ndarray, pa.Table | None]]:
-        """For a batch with FILE and AT: the numbers of its rows that the table has, and their table rows."""
+        """For a batch of scanned(): the numbers of its rows that the table has, and their table rows."""
+        if not self.direct:
+            return lambda batch: (np.arange(batch.num_rows), pa.Table.from_batches([batch]) if batch.num_rows else None)
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(self.folder)
@@ -200,11 +229,13 @@ class Lookup:
 
 def without(docs: DataFrame, gone: DataFrame, work: Scratch, name: str = "gone") -> DataFrame:
     """docs, which has FILE and AT, without the rows at the places of gone, and without these columns. No
-    row of docs is shuffled."""
+    row of docs is shuffled, unless only Spark can open the shared folder."""
     schema = docs.drop(FILE, AT).schema
     lookup = Lookup(gone.select(FILE, AT), work, name)
     if not lookup.files:
         return docs.drop(FILE, AT)
+    if not lookup.direct:
+        return docs.join(lookup.saved(docs.sparkSession).hint("merge"), [FILE, AT], "left_anti").drop(FILE, AT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = lookup.reader()

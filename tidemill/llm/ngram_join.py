@@ -383,7 +383,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int, wo
 
     wanted = blocks.select("cid").distinct().join(classes.select("cid", "first"), "cid").select("cid", F.col("first")[FILE].alias(FILE), F.col("first")[AT].alias(AT))
     lookup = Lookup(wanted, work, "wanted")
-    sets = work.save(read.select(FILE, AT, "text").mapInArrow(_whole_sets(lookup), "cid long, hashes binary"), "sets")
+    sets = work.save(lookup.scanned(read.select(FILE, AT, "text")).mapInArrow(_whole_sets(lookup), "cid long, hashes binary"), "sets")
 
     rows1 = blocks.groupBy("cid").agg(F.min("block").alias("block")).select("block", "cid", F.col("cid").alias("label"), F.lit(True).alias("guest"))
     first = _links(rows1, sets, work, "first", block_sets, 1)

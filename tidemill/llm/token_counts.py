@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     groups = work.save(keyed.groupBy("digest").agg(F.min(F.struct(FILE, AT)).alias("first"), F.count(F.lit(1)).alias("n")), "groups")
     lookup = Lookup(groups.join(before, "digest", "left_anti").select(F.col("first")[FILE].alias(FILE), F.col("first")[AT].alias(AT), "digest"), work, "missing")
     if lookup.files:
-        counted = content.select(FILE, AT, "text").mapInArrow(_encode(tokenizer_path, lookup), "digest binary, n_tokens long")
+        counted = lookup.scanned(content.select(FILE, AT, "text")).mapInArrow(_encode(tokenizer_path, lookup), "digest binary, n_tokens long")
         counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     counts = groups.select("digest", "n").join(cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest")
