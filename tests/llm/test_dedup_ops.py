@@ -1,12 +1,14 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemill.llm import base, exact_dedup, ngram_join, token_counts
 from tidemill.llm.base import Scratch, keep_or_drop
@@ -159,6 +161,47 @@ def test_block_links_connect_what_links_connect(sets, data):
     assert classes(got) == classes([e for e in edges if e[0] in pivots or e[1] in pivots])
 
 
+def test_a_walk_gathers_by_pieces(monkeypatch):
+    """Long sets that differ in many places: what a walk holds at once doesn't grow with their tokens by pivots."""
+    rng = np.random.default_rng(1)
+    pool = np.sort(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    sets = [pool[rng.random(3000) < 0.8] for _ in range(200)]
+    tree = ngram_join.PrefixTree(sets)
+    monkeypatch.setattr(ngram_join, "WALK_CELLS", 600_000)
+    tracemalloc.start()
+    got = tree.overlaps(list(range(200)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+    for i, j in rng.integers(0, 200, (50, 2)).tolist():
+        assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_chunks_of_long_sets(spark, monkeypatch, seed):
+    """A group of near copies whose sets are long for a chunk is dealt by its hashes, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "CHUNK_HASHES", 1500)
+    rng, dealt, search = random.Random(seed), [], ngram_join._search
+
+    def noted(rows, sets):
+        held = rows.join(sets, "cid").groupBy("block", "part", "chunk", "pivot").agg(F.sum(F.octet_length("hashes") / 8).alias("h"), F.count(F.lit(1)).alias("n"))
+        dealt.extend(held.collect())
+        return search(rows, sets)
+
+    monkeypatch.setattr(ngram_join, "_search", noted)
+    texts = [*corpus(rng, 1, 1, length=300), *corpus(rng, 6, 5)]
+    vocab = [f"v{k}" for k in range(900)]
+    for _ in range(40):  # of one group, some of it linked only over others
+        w = list(vocab)
+        for _ in range(rng.randint(0, 40)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(60)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = ngram_join.similar_components(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(rows)
+    assert max(r.h for r in dealt) < 9000 and sum(r.n for r in dealt) >= 40  # of 35,000 in one chunk
+
+
 def test_needed_shares_of_sketches():
     """The chance that linked sets share fewer than NEEDED of their smallest hashes."""
     from math import comb

@@ -15,7 +15,7 @@
    can no longer reach half. Jaccard distance is a metric: a set linked to the pivot, and nearer to it by
    more than 1/4 than any unlinked one, has no further links to find. Then the next pivot, until all
    that are left are known to be connected. Links are decided on the whole sets, in whole numbers.
-5. A block of more than BLOCK_SETS is dealt to chunks, each searched by itself. Then pivots, a few from
+5. A block of more than BLOCK_SETS sets or CHUNK_HASHES hashes is dealt to chunks, each searched by itself. Then pivots, a few from
    each label that isn't the block's commonest, are held against all chunks, and in the end all sets
    that aren't of the commonest label: a stated query set against all rows, in chunks. After that no
    two sets of a block with different labels are left uncompared.
@@ -35,15 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.base import AT, FILE, Lookup, Scratch, WordTable, flat_words, join_groups, located, text_slices, without
+from tidemill.llm.base import AT, FILE, Lookup, Scratch, WordTable, flat_words, join_groups, located, slices, text_slices, without
 from tidemill.llm.components import connected_components
 
 WORDS, NUMERATOR = 5, 75
 SKETCH, NEEDED = 64, 17
 SMALL = SKETCH * NUMERATOR // 100
 BLOCK_SETS, PIVOTS, SPREAD_SETS = 64, 32, 400
-#: Cells of the table of shingles by pivots that one walk of a tree may fill.
+#: Cells of the table of shingles by pivots that one walk of a tree may fill, and of what it gathers from it at once.
 WALK_CELLS = 4_000_000
+#: Hashes of a chunk, about (two sets at least): a worker takes some 60 bytes for each, and holds a chunk and as many pivots.
+CHUNK_HASHES = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -220,9 +222,11 @@ class PrefixTree:
             nodes, above = nodes[live], above[live]
             if not len(nodes):
                 break
-            a, n = self.at[nodes], self.at[nodes + 1] - self.at[nodes]
-            first = np.cumsum(n) - n
-            got = above + np.add.reduceat(mark[self.tokens[np.repeat(a - first, n) + np.arange(n.sum())]], first, axis=0, dtype=np.int32)
+            got, n = above.copy(), self.at[nodes + 1] - self.at[nodes]
+            for lo, hi in slices(n, WALK_CELLS // max(n_p, 16)):  # a node's tokens are distinct: no more cells than mark has
+                first = np.cumsum(n[lo:hi]) - n[lo:hi]
+                tokens = self.tokens[np.repeat(self.at[nodes[lo:hi]] - first, n[lo:hi]) + np.arange(n[lo:hi].sum())]
+                got[lo:hi] += np.add.reduceat(mark[tokens], first, axis=0, dtype=np.int32)
             best = got + np.minimum(left[nodes], np.maximum(self.longest[nodes] - self.deep[nodes], 0)[:, None])
             union = size + np.maximum(self.shortest[nodes][:, None], best) - best
             overlap[nodes] = np.where((above >= 0) & (2 * best >= union), got, -1)
@@ -308,44 +312,49 @@ def _relabelled(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
     return work.save(jump.select(F.col("u").alias("cid"), F.least("u", "m", "m2").alias("label")), f"{name}-labels")
 
 
-def _dealt(n: Column, most: int, salt: int) -> tuple[Column, Column]:
-    """Number of parts of at most about `most` rows, and a row's part."""
-    parts = F.ceil(n / F.lit(most)).cast("int")
+def _dealt(n: Column, hashes: Column, most: int, salt: int) -> tuple[Column, Column]:
+    """Number of parts of at most about `most` rows and CHUNK_HASHES hashes, but two rows, and a row's part."""
+    parts = F.least(F.ceil(n / 2), F.ceil(F.greatest(n / F.lit(most), hashes / F.lit(CHUNK_HASHES)))).cast("int")
     return parts, F.pmod(F.xxhash64("cid", F.lit(salt)), parts).cast("int")
 
 
 def _links(rows: DataFrame, sets: DataFrame, work: Scratch, phase: str, most: int, pivot_rounds: int) -> DataFrame:
-    """Edges (u, v) that connect what links within the blocks of rows (block, cid, label, guest)
+    """Edges (u, v) that connect what links within the blocks of rows (block, cid, size, label, guest)
     connect, but for what the labels connect already. Rows that aren't guests were held against each
     other before, so without guests a block has nothing to find."""
-    sizes = work.save(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g")).where("n > 1 AND g > 0"), f"{phase}-sizes")
+    sizes = work.save(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g"), F.sum("size").alias("h")).where("n > 1 AND g > 0"), f"{phase}-sizes")
     rows = rows.join(sizes, "block")
-    chunks, chunk = _dealt(F.col("n"), most, 9)
-    rows = work.save(rows.select("block", F.lit(0).alias("part"), chunk.alias("chunk"), "cid", "label", "guest", "n", (F.col("g") == F.col("n")).alias("fresh"), chunks.alias("chunks")), f"{phase}-rows")
+    chunks, chunk = _dealt(F.col("n"), F.col("h"), most, 9)
+    rows = work.save(rows.select("block", F.lit(0).alias("part"), chunk.alias("chunk"), "cid", "size", "label", "guest", (F.col("g") == F.col("n")).alias("fresh"), chunks.alias("chunks")), f"{phase}-rows")
     edges = work.save(_search(rows.where("chunks = 1 OR fresh").withColumn("pivot", F.col("guest") & ~F.col("fresh")), sets), f"{phase}-edges")
-    large = rows.where("chunks > 1").select("block", "cid", "label", "guest")
+    large = rows.where("chunks > 1").select("block", "cid", "size", "label", "guest")
     for k in range(pivot_rounds + 1):
         if large.isEmpty():
             break
         known = _relabelled(edges.unionByName(rows.where("cid <> label").select(F.col("cid").alias("u"), F.col("label").alias("v"))), work, f"{phase}-{k}")
-        now = work.save(large.drop("label").join(known, "cid", "left").select("block", "cid", F.coalesce("label", "cid").alias("label"), "guest"), f"{phase}-{k}-large")
-        counts = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g"))
-        mains = counts.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("g").alias("g"), F.max("n").alias("most"), F.count(F.lit(1)).alias("labels"))
+        now = work.save(large.drop("label").join(known, "cid", "left").select("block", "cid", "size", F.coalesce("label", "cid").alias("label"), "guest"), f"{phase}-{k}-large")
+        guests = F.sum(F.when(F.col("guest"), F.col("size")).otherwise(0))
+        counts = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g"), F.sum("size").alias("h"), guests.alias("gh"))
+        largest = F.max(F.struct("n", "label", "h"))
+        mains = counts.groupBy("block").agg(largest.alias("most"), *(F.sum(c).alias(c) for c in ("n", "g", "h", "gh")), F.count(F.lit(1)).alias("labels"))
         # guests against all, or all that aren't of the main label against all, whichever are fewer
-        mains = work.save(mains.where("labels > 1").select("block", "main", "n", (F.col("g") < F.col("n") - F.col("most")).alias("by_guest"), F.least("g", F.col("n") - F.col("most")).alias("p")), f"{phase}-{k}-mains")
+        by_guest = F.col("g") < F.col("n") - F.col("most.n")
+        against = F.when(by_guest, F.struct(F.col("g").alias("p"), F.col("gh").alias("ph"))).otherwise(F.struct((F.col("n") - F.col("most.n")).alias("p"), (F.col("h") - F.col("most.h")).alias("ph")))
+        mains = work.save(mains.where("labels > 1").select("block", F.col("most.label").alias("main"), "n", "h", by_guest.alias("by_guest"), against["p"].alias("p"), against["ph"].alias("ph")), f"{phase}-{k}-mains")
         large = work.save(now.join(mains, "block"), f"{phase}-{k}-left")
         others = large.where(F.when(F.col("by_guest"), F.col("guest")).otherwise(F.col("label") != F.col("main")))
-        chunks, chunk = _dealt(F.col("n"), SPREAD_SETS, 9)
+        chunks, chunk = _dealt(F.col("n"), F.col("h"), SPREAD_SETS, 9)
         if k < pivot_rounds:
             parts, part = F.lit(1), F.lit(0)
-            others = others.groupBy("block", F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(PIVOTS)).alias("salt")).agg(F.min("cid").alias("cid"), F.min_by("label", "cid").alias("label"), F.first("n").alias("n"))
+            pivots = F.least(F.lit(PIVOTS), F.greatest(F.lit(1), F.floor(F.lit(CHUNK_HASHES) * F.col("n") / F.col("h")))).cast("int")
+            others = others.groupBy("block", F.pmod(F.xxhash64("cid", F.lit(k)), pivots).alias("salt")).agg(F.min("cid").alias("cid"), F.min_by("label", "cid").alias("label"), F.first("n").alias("n"), F.first("h").alias("h"))
         else:
-            parts, part = _dealt(F.col("p"), SPREAD_SETS, 10)
+            parts, part = _dealt(F.col("p"), F.col("ph"), SPREAD_SETS, 10)
         numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         members = large.select("block", numbers(parts).alias("part"), chunk.alias("chunk"), "cid", "label", F.lit(False).alias("pivot"))
         spread = others.select("block", part.alias("part"), numbers(chunks).alias("chunk"), "cid", "label", F.lit(True).alias("pivot"))
         edges = edges.unionByName(work.save(_search(members.unionByName(spread), sets), f"{phase}-{k}-edges"))
-        large = large.select("block", "cid", "label", "guest")
+        large = large.select("block", "cid", "size", "label", "guest")
     return edges
 
 
@@ -372,11 +381,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int, wo
     shared = work.save(hashes.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     lists = hashes.join(shared, "t").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("l"))  # SKETCH at most
     need = F.when(F.col("n") <= SMALL, F.ceil(F.col("n") * NUMERATOR / 100)).otherwise(NEEDED).cast("int")
-    lists = lists.where(F.size("l") >= 1).join(classes.select("cid", need.alias("need")), "cid").where("size(l) >= need")
-    prefix = work.save(lists.select("cid", F.explode(F.slice("l", F.lit(1), F.expr("size(l) - need + 1"))).alias("x")).select("cid", F.col("x.t").alias("t")), "prefix")
+    lists = lists.where(F.size("l") >= 1).join(classes.select("cid", need.alias("need"), F.col("n").alias("size")), "cid").where("size(l) >= need")
+    prefix = work.save(lists.select("cid", "size", F.explode(F.slice("l", F.lit(1), F.expr("size(l) - need + 1"))).alias("x")).select("cid", "size", F.col("x.t").alias("t")), "prefix")
     work.drop("shared")
     owners = work.save(prefix.groupBy("t").agg(F.min("cid").alias("block"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "block"), "owners")
-    blocks = work.save(prefix.join(owners, "t").select("block", "cid").distinct(), "blocks")
+    blocks = work.save(prefix.join(owners, "t").select("block", "cid", "size").distinct(), "blocks")
     sizes = work.save(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"), "sizes")
     blocks = work.save(blocks.join(sizes, "block"), "several")
     work.drop("prefix", "owners", "blocks", "sizes")
@@ -385,11 +394,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int, wo
     lookup = Lookup(wanted, work, "wanted")
     sets = work.save(lookup.scanned(read.select(FILE, AT, "text")).mapInArrow(_whole_sets(lookup), "cid long, hashes binary"), "sets")
 
-    rows1 = blocks.groupBy("cid").agg(F.min("block").alias("block")).select("block", "cid", F.col("cid").alias("label"), F.lit(True).alias("guest"))
+    rows1 = blocks.groupBy("cid").agg(F.min("block").alias("block"), F.first("size").alias("size")).select("block", "cid", "size", F.col("cid").alias("label"), F.lit(True).alias("guest"))
     first = _links(rows1, sets, work, "first", block_sets, 1)
     labels = work.save(connected_components(first, work).select(F.col("node").alias("cid"), F.col("component").alias("label")), "labels")
     least = rows1.select("cid", F.col("block").alias("least"))
-    told = work.save(blocks.join(least, "cid").join(labels, "cid", "left").select("block", "cid", F.coalesce("label", "cid").alias("label"), (F.col("block") != F.col("least")).alias("guest")), "told")
+    told = work.save(blocks.join(least, "cid").join(labels, "cid", "left").select("block", "cid", "size", F.coalesce("label", "cid").alias("label"), (F.col("block") != F.col("least")).alias("guest")), "told")
     mixed = work.save(told.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("block"), "mixed")
     second = _links(told.join(mixed, "block"), sets, work, "second", block_sets, 0)
     edges = work.save(labels.select(F.col("cid").alias("u"), F.col("label").alias("v")).unionByName(second), "edges")
