@@ -230,6 +230,35 @@ def test_connected_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
 
 
+def test_few_rows_take_few_files(spark, monkeypatch):
+    """Tables of which is known that they are small aren't dealt over as many files as there are shuffle partitions."""
+    files, save = [], Scratch.save
+
+    def noted(self, df, name, *rows):
+        saved = save(self, df, name, *rows)
+        files.append(len(saved.inputFiles()))
+        return saved
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    edges = Scratch(spark, "t").save(spark.createDataFrame([(i, i + 1) for i in range(100)], "u long, v long"), "edges")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        files.clear()
+        got = {r.node: r.component for r in connected_components(edges, Scratch(spark, "t")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict.fromkeys(range(101), 0) and files and set(files) == {1}
+    monkeypatch.setattr(base, "TASK_ROWS", 30)
+    work = Scratch(spark, "t")
+    many = work.save(spark.range(0, 100, 1, 8), "many", 100)
+    assert files[-1] == 4 and many.count() == 100
+    assert work.save(spark.range(0).repartition(3), "none", 0).count() == 0
+
+
 def test_joins_without_broadcast(spark):
     rows, keys = spark.range(10).toDF("k"), spark.range(5).toDF("k")
     for most in (2, 100):

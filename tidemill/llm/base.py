@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 300_000
 #: Bytes of text whose words are held as Python objects at one time.
 SLICE_BYTES = 1 << 20
+#: Rows of a few numbers each that a task writes at least, where it is known how many there are.
+TASK_ROWS = 100_000
 #: Words that a worker keeps with their features; the table starts anew beyond that.
 WORDS_KEPT = 150_000
 #: Word tables that a worker keeps; workers serve one operator after another.
@@ -98,7 +100,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: about how many there are at most, if that is known. Few are written by few tasks: on a local
+        disk each file, however small, and its checksum take a process each (chmod)."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

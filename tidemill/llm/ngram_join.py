@@ -301,15 +301,15 @@ def _search(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.mapInArrow(_linked_blocks, "u long, v long")
 
 
-def _relabelled(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
-    """cid, label: of each node of an edge the smallest node within a few steps. Nodes with the same
+def _relabelled(edges: DataFrame, work: Scratch, name: str, n: int) -> DataFrame:
+    """cid, label: of each node of an edge (n at most) the smallest node within a few steps. Nodes with the same
     label are connected; connected ones may still differ."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = work.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-near")
+    near = work.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-near", n)
     second = both.join(near.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
-    second = work.save(second, f"{name}-second")
+    second = work.save(second, f"{name}-second", n)
     jump = second.join(near.select(F.col("u").alias("m"), F.col("m").alias("m2")), "m", "left")
-    return work.save(jump.select(F.col("u").alias("cid"), F.least("u", "m", "m2").alias("label")), f"{name}-labels")
+    return work.save(jump.select(F.col("u").alias("cid"), F.least("u", "m", "m2").alias("label")), f"{name}-labels", n)
 
 
 def _dealt(n: Column, hashes: Column, most: int, salt: int) -> tuple[Column, Column]:
@@ -318,21 +318,21 @@ def _dealt(n: Column, hashes: Column, most: int, salt: int) -> tuple[Column, Col
     return parts, F.pmod(F.xxhash64("cid", F.lit(salt)), parts).cast("int")
 
 
-def _links(rows: DataFrame, sets: DataFrame, work: Scratch, phase: str, most: int, pivot_rounds: int) -> DataFrame:
-    """Edges (u, v) that connect what links within the blocks of rows (block, cid, size, label, guest)
-    connect, but for what the labels connect already. Rows that aren't guests were held against each
+def _links(rows: DataFrame, sets: DataFrame, work: Scratch, phase: str, n_rows: int, most: int, pivot_rounds: int) -> DataFrame:
+    """Edges (u, v) that connect what links within the blocks of rows (block, cid, size, label, guest; n_rows
+    at most) connect, but for what the labels connect already. Rows that aren't guests were held against each
     other before, so without guests a block has nothing to find."""
-    sizes = work.save(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g"), F.sum("size").alias("h")).where("n > 1 AND g > 0"), f"{phase}-sizes")
+    sizes = work.save(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g"), F.sum("size").alias("h")).where("n > 1 AND g > 0"), f"{phase}-sizes", n_rows)
     rows = rows.join(sizes, "block")
     chunks, chunk = _dealt(F.col("n"), F.col("h"), most, 9)
-    rows = work.save(rows.select("block", F.lit(0).alias("part"), chunk.alias("chunk"), "cid", "size", "label", "guest", (F.col("g") == F.col("n")).alias("fresh"), chunks.alias("chunks")), f"{phase}-rows")
+    rows = work.save(rows.select("block", F.lit(0).alias("part"), chunk.alias("chunk"), "cid", "size", "label", "guest", (F.col("g") == F.col("n")).alias("fresh"), chunks.alias("chunks")), f"{phase}-rows", n_rows)
     edges = work.save(_search(rows.where("chunks = 1 OR fresh").withColumn("pivot", F.col("guest") & ~F.col("fresh")), sets), f"{phase}-edges")
     large = rows.where("chunks > 1").select("block", "cid", "size", "label", "guest")
     for k in range(pivot_rounds + 1):
         if large.isEmpty():
             break
-        known = _relabelled(edges.unionByName(rows.where("cid <> label").select(F.col("cid").alias("u"), F.col("label").alias("v"))), work, f"{phase}-{k}")
-        now = work.save(large.drop("label").join(known, "cid", "left").select("block", "cid", "size", F.coalesce("label", "cid").alias("label"), "guest"), f"{phase}-{k}-large")
+        known = _relabelled(edges.unionByName(rows.where("cid <> label").select(F.col("cid").alias("u"), F.col("label").alias("v"))), work, f"{phase}-{k}", n_rows)
+        now = work.save(large.drop("label").join(known, "cid", "left").select("block", "cid", "size", F.coalesce("label", "cid").alias("label"), "guest"), f"{phase}-{k}-large", n_rows)
         guests = F.sum(F.when(F.col("guest"), F.col("size")).otherwise(0))
         counts = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("guest").alias("g"), F.sum("size").alias("h"), guests.alias("gh"))
         largest = F.max(F.struct("n", "label", "h"))
@@ -340,8 +340,8 @@ def _links(rows: DataFrame, sets: DataFrame, work: Scratch, phase: str, most: in
         # guests against all, or all that aren't of the main label against all, whichever are fewer
         by_guest = F.col("g") < F.col("n") - F.col("most.n")
         against = F.when(by_guest, F.struct(F.col("g").alias("p"), F.col("gh").alias("ph"))).otherwise(F.struct((F.col("n") - F.col("most.n")).alias("p"), (F.col("h") - F.col("most.h")).alias("ph")))
-        mains = work.save(mains.where("labels > 1").select("block", F.col("most.label").alias("main"), "n", "h", by_guest.alias("by_guest"), against["p"].alias("p"), against["ph"].alias("ph")), f"{phase}-{k}-mains")
-        large = work.save(now.join(mains, "block"), f"{phase}-{k}-left")
+        mains = work.save(mains.where("labels > 1").select("block", F.col("most.label").alias("main"), "n", "h", by_guest.alias("by_guest"), against["p"].alias("p"), against["ph"].alias("ph")), f"{phase}-{k}-mains", n_rows)
+        large = work.save(now.join(mains, "block"), f"{phase}-{k}-left", n_rows)
         others = large.where(F.when(F.col("by_guest"), F.col("guest")).otherwise(F.col("label") != F.col("main")))
         chunks, chunk = _dealt(F.col("n"), F.col("h"), SPREAD_SETS, 9)
         if k < pivot_rounds:
@@ -389,23 +389,24 @@ def _components(docs: DataFrame, id_col: str, text_col: str, block_sets: int, wo
     sizes = work.save(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"), "sizes")
     blocks = work.save(blocks.join(sizes, "block"), "several")
     work.drop("prefix", "owners", "blocks", "sizes")
+    n = blocks.count()  # no table of what stands in blocks has more rows
 
     wanted = blocks.select("cid").distinct().join(classes.select("cid", "first"), "cid").select("cid", F.col("first")[FILE].alias(FILE), F.col("first")[AT].alias(AT))
     lookup = Lookup(wanted, work, "wanted")
     sets = work.save(lookup.scanned(read.select(FILE, AT, "text")).mapInArrow(_whole_sets(lookup), "cid long, hashes binary"), "sets")
 
     rows1 = blocks.groupBy("cid").agg(F.min("block").alias("block"), F.first("size").alias("size")).select("block", "cid", "size", F.col("cid").alias("label"), F.lit(True).alias("guest"))
-    first = _links(rows1, sets, work, "first", block_sets, 1)
-    labels = work.save(connected_components(first, work).select(F.col("node").alias("cid"), F.col("component").alias("label")), "labels")
+    first = _links(rows1, sets, work, "first", n, block_sets, 1)
+    labels = work.save(connected_components(first, work).select(F.col("node").alias("cid"), F.col("component").alias("label")), "labels", n)
     least = rows1.select("cid", F.col("block").alias("least"))
-    told = work.save(blocks.join(least, "cid").join(labels, "cid", "left").select("block", "cid", "size", F.coalesce("label", "cid").alias("label"), (F.col("block") != F.col("least")).alias("guest")), "told")
-    mixed = work.save(told.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("block"), "mixed")
-    second = _links(told.join(mixed, "block"), sets, work, "second", block_sets, 0)
-    edges = work.save(labels.select(F.col("cid").alias("u"), F.col("label").alias("v")).unionByName(second), "edges")
-    comps = work.save(connected_components(edges, work), "components")
+    told = work.save(blocks.join(least, "cid").join(labels, "cid", "left").select("block", "cid", "size", F.coalesce("label", "cid").alias("label"), (F.col("block") != F.col("least")).alias("guest")), "told", n)
+    mixed = work.save(told.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("block"), "mixed", n)
+    second = _links(told.join(mixed, "block"), sets, work, "second", n, block_sets, 0)
+    edges = work.save(labels.select(F.col("cid").alias("u"), F.col("label").alias("v")).unionByName(second), "edges", n)
+    comps = work.save(connected_components(edges, work), "components", n)
     named = comps.join(classes.select(F.col("cid").alias("node"), "first"), "node")
-    firsts = work.save(named.groupBy("component").agg(F.min("first").alias("of_component"), F.count(F.lit(1)).alias("n")), "firsts")
-    of_class = work.save(join_groups(comps, firsts, "component", "n").select(F.col("node").alias("cid"), "of_component"), "of-class")
+    firsts = work.save(named.groupBy("component").agg(F.min("first").alias("of_component"), F.count(F.lit(1)).alias("n")), "firsts", n)
+    of_class = work.save(join_groups(comps, firsts, "component", "n").select(F.col("node").alias("cid"), "of_component"), "of-class", n)
     classes = classes.select("cid", "digest", "n_rows", "first").join(of_class, "cid", "left")
     return rows, work.save(classes.select("digest", "n_rows", F.coalesce("of_component", "first").alias("first")), "named")
 
